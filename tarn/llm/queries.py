@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import simhash, substring_dedup
+from tarn.llm import decontaminate, simhash, substring_dedup
 from tarn.llm._store import documents
 
 
@@ -21,8 +21,12 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(documents(spark, sf_dir, "doc_id", "text"), documents(spark, sf_dir, "item_id", "text", table="benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_simhash_near_dedup, op5_spaced_seed_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
