@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import decontaminate, simhash, substring_dedup
+from tarn.llm import decontaminate, packing, simhash, substring_dedup
 from tarn.llm._store import documents
 
 
@@ -25,8 +25,18 @@ def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.overlaps(documents(spark, sf_dir, "doc_id", "text"), documents(spark, sf_dir, "item_id", "text", table="benchmark"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_simhash_near_dedup, op5_spaced_seed_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_simhash_near_dedup, op5_spaced_seed_decontamination, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
