@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import decontaminate, licenses, media, packing, simhash, substring_dedup
+from tarn.llm import decontaminate, licenses, media, packing, simhash, substring_dedup, warc
 from tarn.llm._store import documents
 
 
@@ -25,6 +25,10 @@ def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.overlaps(documents(spark, sf_dir, "doc_id", "text"), documents(spark, sf_dir, "item_id", "text", table="benchmark"))
 
 
+def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archive(warc.write_archive(documents(spark, sf_dir, "page_id", "url", "html", table="pages")))
+
+
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -44,7 +48,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_simhash_near_dedup, op5_spaced_seed_decontamination, op8_flac_media, op9_license_scan, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_substring_dedup, op4_simhash_near_dedup, op5_spaced_seed_decontamination, op6_warc_segments, op8_flac_media, op9_license_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
