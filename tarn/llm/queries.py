@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import decontaminate, licenses, media, packing, simhash, substring_dedup, warc
+from tarn.llm import _sample, decontaminate, language, licenses, media, packing, quality, simhash, substring_dedup, toxicity, warc
 from tarn.llm._store import documents
 
 
@@ -16,6 +16,24 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def _held_out(modulus: int, value: int):
+    return F.coalesce(_sample.remainder(modulus) == value, F.lit(False)).alias("held_out")
+
+
+def op2_rule_ensemble_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = quality.train(docs, documents(spark, sf_dir, "doc_id", "quality", table="labels"))
+    out = quality.score(docs, model, "doc_id")
+    return out.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op3_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    model = toxicity.train(docs, documents(spark, sf_dir, "doc_id", "toxic", table="labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", _held_out(5, 0), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -29,6 +47,11 @@ def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(warc.write_archive(documents(spark, sf_dir, "page_id", "url", "html", table="pages")))
 
 
+def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    return language.identify(docs, language.train(docs)).select("doc_id", _held_out(4, 2), "lang_pred", "score")
+
+
 def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -48,7 +71,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op4_simhash_near_dedup, op5_spaced_seed_decontamination, op6_warc_segments, op8_flac_media, op9_license_scan, op10_best_fit_packing)}
+    own = (
+        op1_substring_dedup,
+        op2_rule_ensemble_quality,
+        op3_nnpu_toxicity,
+        op4_simhash_near_dedup,
+        op5_spaced_seed_decontamination,
+        op6_warc_segments,
+        op7_byte_cnn_language,
+        op8_flac_media,
+        op9_license_scan,
+        op10_best_fit_packing,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
