@@ -47,10 +47,10 @@ STATISTICS = {
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and a double column for each of STATISTICS."""
-    base = docs.select(*keep, F.coalesce("text", F.lit("")).alias("t"))
-    base = base.select(*keep, "t", F.expr("greatest(char_length(t), 1)").alias("n"), F.expr(r"split(t, '[ \\t-\\r]+')").alias("w"))
-    return base.select(*keep, *(F.expr(f"cast({sql} as double)").alias(f"s_{name}") for name, sql in STATISTICS.items()))
+    """``row``, a struct of the kept columns, and a double column for each of STATISTICS."""
+    base = docs.select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("t"))
+    base = base.select("row", "t", F.expr("greatest(char_length(t), 1)").alias("n"), F.expr(r"split(t, '[ \\t-\\r]+')").alias("w"))
+    return base.select("row", *(F.expr(f"cast({sql} as double)").alias(f"s_{name}") for name, sql in STATISTICS.items()))
 
 
 @dataclass(frozen=True)
@@ -142,11 +142,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     """Learns ``quality`` from labelled rows whose crc32(doc_id) is no multiple of five."""
     own = labels.where(F.col("quality").isNotNull() & (_sample.remainder(5) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     drawn = _sample.draw(own, max_rows)
-    rows = statistics(_sample.texts_of(docs.select("doc_id", "text"), drawn, max_rows), "quality").toPandas()
+    rows = statistics(_sample.texts_of(docs.select("doc_id", "text"), drawn, max_rows), "quality").select("row.*", *(f"s_{n}" for n in STATISTICS)).toPandas()
     x = rows[[f"s_{n}" for n in STATISTICS]].to_numpy(np.float64)
     return fit(x, rows["quality"].to_numpy(np.float64))
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The kept columns and ``score``, the probability of label 1."""
-    return statistics(docs, *keep).select(*keep, model.column().alias("score"))
+    return statistics(docs, *keep).select("row.*", model.column().alias("score"))
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that score ``threshold`` or more."""
+    return statistics(docs, *docs.columns).where(model.column() >= threshold).select("row.*")

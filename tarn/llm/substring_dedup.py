@@ -290,15 +290,15 @@ def _apply(batches: Iterator[pa.RecordBatch], window: int):
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_bits: int = 28, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space), then ``carry``'d columns as they are.
 
-    docs: doc_id and text, read three times; it should be a table or a file.
+    docs: doc_id and text, read four times; it should be a table or a file.
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", *(F.col(c).alias(f"c__{c}") for c in carry))
-    n_bytes = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    bits = sketch_bits(min(n_bytes * 2, 1 << 60), most=max_bits)
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = sketch_bits(n_bytes, most=max_bits)
     plane = spark.sparkContext.broadcast(repeated_bits(docs, window, anchor, bits))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = int(min(4096, max(4 * shuffle, n_bytes >> 22, 16)))
+    parts = int(min(4096, max(4 * shuffle, n_bytes >> 23, 16)))
     # a document is known by its id and a hash of its text, so repeated ids do no harm
     rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
