@@ -10,7 +10,7 @@ Reading: segments are grouped by the identifier of their origin, ordered by
 segment number, and checked for gaps and against the total length before the
 chunked framing is decoded and the payload compared with its digest. Only
 segmented records are shuffled. Revisits meet their response in a join on its
-identifier. A record that is incomplete or whose digest differs has ``complete``
+identifier. A record that stands in an archive more than once counts as often. A record that is incomplete or whose digest differs has ``complete``
 false and no payload.
 
 Which payload is a response is found by a maximum per digest, aggregated before
@@ -18,8 +18,8 @@ the shuffle; the joins are ones that adaptive execution can split, so a payload
 that a third of all pages share is no single task's work.
 
 Defined cases: null html is an empty payload; null page_id and url are kept (a
-null id is smaller than any); of repeated rows one is the response; other
-columns are not read.
+null id is smaller than any); rows that repeat the largest page_id of a payload are
+responses each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from tarn.llm._store import cut
 
 SEGMENT, CHUNK = 16 << 10, 4 << 10
+BROADCAST_ROWS = 100_000
 # Fixed values of the formats.
 EOL = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -100,26 +101,30 @@ def response(page_id, url: str | None, payload: bytes, ident: str, segment: int
 def _write(batches: Iterator[pa.RecordBatch], segment: int):
     for batch in batches:
         out = []
-        for page, url, html, rid, top in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "rid", "top")), strict=True):
+        for page, url, html, again, to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "again", "to")), strict=True):
             payload = (html or "").encode()
-            if top is None or top["rid"] == rid:
-                out += response(page, url, payload, record_id("response", page, rid), segment)
+            sha = digest(payload)
+            if not again:
+                out += response(page, url, payload, record_id("response", page, sha), segment)
             else:
-                to = record_id("response", top["page_id"], top["rid"])
-                out.append(record("revisit", record_id("revisit", page, rid), HTTP, WARC_Target_URI=_one_line(url), X_Page_ID=page, WARC_Profile=PROFILE, WARC_Refers_To=to, WARC_Payload_Digest=f"sha1:{digest(payload)}"))
+                out.append(record("revisit", record_id("revisit", page, sha), HTTP, WARC_Target_URI=_one_line(url), X_Page_ID=page, WARC_Profile=PROFILE, WARC_Refers_To=record_id("response", to, sha), WARC_Payload_Digest=f"sha1:{sha}"))
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["member"])
 
 
 def write_archive(pages: DataFrame, least: int = 0, segment: int = SEGMENT) -> DataFrame:
     """Column ``member``: the archive's gzip members, one for each record, kept in the shared folder.
 
-    Payloads of fewer than ``least`` bytes are never revisits.
+    Payloads of fewer than ``least`` bytes are never revisits. pages is read twice.
     """
-    base = cut(pages.select("page_id", "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("sha"), F.monotonically_increasing_id().alias("rid")))
+    base = pages.select("page_id", "url", "html", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")).alias("sha"))
     large = base.where(F.coalesce(F.octet_length("html"), F.lit(0)) >= least)
-    tops = large.groupBy(F.col("sha").alias("s")).agg(F.max(F.struct("page_id", "rid")).alias("top"))
-    joined = base.join(tops, F.col("sha") == F.col("s"), "left").select("page_id", "url", "html", "rid", "top")
-    return cut(joined.mapInArrow(lambda it: _write(it, segment), "member binary"))
+    tops = large.groupBy(F.col("sha").alias("s")).agg(F.max("page_id").alias("to"), F.count("*").alias("n"))
+    tops = cut(tops.where("n > 1").select("s", "to"))  # payloads that occur once need no join
+    if tops.count() <= BROADCAST_ROWS:
+        tops = F.broadcast(tops)
+    joined = base.join(tops, F.col("sha") == F.col("s"), "left")
+    again = F.col("s").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to"))
+    return cut(joined.select("page_id", "url", "html", again.alias("again"), "to").mapInArrow(lambda it: _write(it, segment), "member binary"))
 
 
 _FIELDS = {"warc-type": "kind", "warc-record-id": "ident", "x-page-id": "page", "warc-payload-digest": "sha", "warc-refers-to": "refers", "warc-segment-origin-id": "origin", "warc-segment-number": "number", "warc-segment-total-length": "total"}
@@ -167,12 +172,14 @@ def _reassemble(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         rows = []
         for r in batch.to_pylist():
-            parts = sorted(r["parts"], key=lambda p: p["number"] or 1)
+            parts = sorted({p["number"] or 1: p for p in r["parts"]}.items())
+            parts = [p for _, p in parts]
+            copies = max(1, sum((p["number"] or 1) == 1 for p in r["parts"]))
             first = parts[0]
             block = b"".join(p["block"] for p in parts)
             whole = first["kind"] == "response" and (first["number"] is None and len(parts) == 1 or [p["number"] for p in parts] == list(range(1, len(parts) + 1)) and parts[-1]["total"] == len(block))
             payload = _payload(block, first["sha"]) if whole else None
-            rows.append((r["ident"], first["page"], None if payload is None else len(payload), None if payload is None else digest(payload), len(parts), payload is not None, payload))
+            rows += copies * [(r["ident"], first["page"], None if payload is None else len(payload), None if payload is None else digest(payload), len(parts), payload is not None, payload)]
         cols = list(zip(*rows, strict=True)) or [()] * 7
         types = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.bool_(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["ident", "page", "payload_bytes", "payload_digest", "n_segments", "complete", "payload"])
@@ -197,7 +204,7 @@ def read_archive(archive: DataFrame, page_type: str = "long") -> DataFrame:
     found = cut(_responses(rows).drop("payload"))
     page = F.col("page").cast(page_type)
     revisits = rows.where("kind = 'revisit'").select(page.alias("page_id"), F.col("refers"))
-    of = found.select(F.col("ident"), page.alias("refers_to"), "payload_bytes", "payload_digest", "complete")
+    of = found.groupBy("ident").agg(F.any_value(page).alias("refers_to"), F.any_value("payload_bytes").alias("payload_bytes"), F.any_value("payload_digest").alias("payload_digest"), F.bool_and("complete").alias("complete"))
     again = revisits.join(of, F.col("refers") == F.col("ident"), "left").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to", F.lit(0).alias("n_segments"), F.coalesce("complete", F.lit(False)).alias("complete"))
     return found.select(page.alias("page_id"), "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast(page_type).alias("refers_to"), "n_segments", "complete").union(again)
 
