@@ -1 +1 @@
-
+"""Statements as DataFrames."""

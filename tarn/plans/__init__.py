@@ -1 +1 @@
-
+"""From query text to syntax trees."""
