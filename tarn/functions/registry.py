@@ -116,7 +116,7 @@ def _extreme(whole: Callable[[Column], Column], by: Callable[[Column, Column], C
     def build(a: Val) -> Val:
         if a.kind == "null":
             return a
-        col = by(a.col, V.sort_key(a)) if a.kind in ("variant", "map") else whole(a.col)
+        col = by(a.col, V.sort_key(a)) if V.loose(a.dtype) else whole(a.col)
         return Val(col, a.kind, a.dtype)
 
     return build

@@ -40,6 +40,13 @@ _INTS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _KINDS = ((T.NullType, "null"), (T.BooleanType, "bool"), (_INTS, "int"), ((T.FloatType, T.DoubleType, T.DecimalType), "double"), (T.StringType, "string"), (T.ArrayType, "array"), (T.StructType, "struct"), (T.MapType, "map"), (T.VariantType, "variant"))
 
 
+def loose(dtype: T.DataType) -> bool:
+    """Whether Spark can't order or group values of the type."""
+    if isinstance(dtype, T.StructType):
+        return any(loose(f.dataType) for f in dtype.fields)
+    return loose(dtype.elementType) if isinstance(dtype, T.ArrayType) else isinstance(dtype, (T.VariantType, T.MapType))
+
+
 def typed(col: Column, dtype: T.DataType, path: tuple[Column, str] | None = None) -> Val:
     kind = next((k for t, k in _KINDS if isinstance(dtype, t)), "other")
     if kind == "double" and not isinstance(dtype, T.DoubleType):
@@ -49,7 +56,7 @@ def typed(col: Column, dtype: T.DataType, path: tuple[Column, str] | None = None
 
 def constant(value: object) -> Val:
     if value is None:
-        return Val(F.lit(None), "null", T.NullType())
+        return Val(null(), "null", T.NullType())
     kind, dtype = {bool: ("bool", T.BooleanType()), float: ("double", T.DoubleType()), str: ("string", T.StringType())}[type(value)]
     return Val(F.lit(value), kind, dtype, value)
 
@@ -159,18 +166,14 @@ def sort_key(a: Val) -> Column:
     if a.kind == "variant":
         n = F.when(kind_of(a.col).isin("int", "double"), get(a.col, "$", "double"))
         return F.when(a.col.isNotNull(), F.struct(F.when(n.isNull(), 1).otherwise(0), n, F.when(n.isNull(), text(a))))
-    if a.kind in ("map", "null"):
-        return text(a)
-    return a.col
+    return text(a) if a.kind == "null" or loose(a.dtype) else a.col
 
 
 def group_key(a: Val) -> Column:
     """Something that is equal for equal values of one kind only, for VARIANT and maps."""
     if a.kind == "variant":
         return F.when(a.col.isNotNull(), F.struct(kind_of(a.col), F.when(kind_of(a.col).isin("array", "object"), F.to_json(a.col)).otherwise(spelling(a))))
-    if a.kind == "map":
-        return F.to_json(a.col)
-    return a.col
+    return F.to_json(a.col) if loose(a.dtype) else a.col
 
 
 def json_path(*steps: str) -> str | None:
@@ -226,7 +229,10 @@ def _member(a: Val, key: Val, name: str | None) -> Val:
         fields[f.name.lower()] = f
     if name is not None:
         f = fields.get(name)
-        return constant(None) if f is None else typed(a.col.getField(f.name), f.dataType, under(a, f.name))
+        if f is None:
+            return constant(None)
+        member = a.col.getField(f.name)
+        return typed(present(member) if isinstance(f.dataType, T.VariantType) else member, f.dataType, under(a, f.name))
     if not fields:
         return constant(None)
     own = [(low, typed(a.col.getField(f.name), f.dataType)) for low, f in fields.items()]

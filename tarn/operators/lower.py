@@ -130,7 +130,10 @@ class Lowering:
 
         def value(name: str) -> Val:
             if name == "__all__":
-                return root if got.types and all(n == n.lower() for n in got.types) else self._whole(root)
+                if not got.types or any(n != n.lower() for n in got.types):
+                    return self._whole(root)
+                kind = T.StructType([T.StructField(n, T.VariantType() if isinstance(x, T.NullType) else x) for n, x in got.types.items()])
+                return Val(V.get(root.col, "$", _ddl(kind)), "struct", kind, None, root.path)
             own = spelled.get(name, [])
             if got.types and not own:
                 return V.constant(None)
@@ -213,7 +216,7 @@ class Lowering:
                 raise QueryError("a group key can't be an aggregate")
             v, u = self.value(e, scope), self._new()
             by.append(V.group_key(v).alias(u))
-            if v.kind in ("variant", "map"):
+            if V.loose(v.dtype):
                 u = self._aggregate(aggregates, F.any_value(v.col))
             known[e] = replace(v, col=F.col(u), literal=None, path=None)
 

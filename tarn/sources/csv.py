@@ -46,7 +46,7 @@ def _records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(records: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame({"k": [list(r) for r in records], "v": [list(r.values()) for r in records]})
+    return pd.DataFrame({"k": [list(r) for r in records], "v": [list(r.values()) for r in records]}, dtype=object)
 
 
 def read(spark: SparkSession, path: Path) -> DataFrame:
