@@ -113,8 +113,9 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     src = buf[pos + np.repeat(starts, lens)]
     low, high = pos & 0xFFFF, pos >> 16
     v = _BYTE[src] * powers(_WORD_BASE, 1 << 16)[low]
-    if lens.max() > 1 << 16:
-        v = mix(v) * powers(_odd(17), int(high.max()) + 1)[high]
+    if lens.max() > 1 << 16:  # only words of that length: a word's hash must not depend on others
+        own = np.repeat(lens > 1 << 16, lens)
+        v[own] = mix(v[own]) * powers(_odd(17), int(high.max()) + 1)[high[own]]
     return mix(np.add.reduceat(v, at) + lens.astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
