@@ -16,7 +16,10 @@ def draw(rows: DataFrame, most: int, column: str = "doc_id") -> DataFrame:
     return rows.orderBy(F.xxhash64(F.lit(17), column), column).limit(most)
 
 
-def texts_of(docs: DataFrame, drawn: DataFrame, most: int) -> DataFrame:
-    """docs joined with drawn rows on doc_id; drawn is broadcast, which its bound allows."""
+def texts_of(docs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """docs joined with drawn rows on doc_id; drawn is broadcast, which its bound allows.
+
+    A doc_id that repeats brings all its rows: callers limit what they make of them.
+    """
     own = F.broadcast(drawn.withColumnRenamed("doc_id", "drawn_id"))
-    return docs.join(own, F.col("doc_id") == F.col("drawn_id")).drop("drawn_id").limit(2 * most)
+    return docs.join(own, F.col("doc_id") == F.col("drawn_id")).drop("drawn_id")

@@ -13,8 +13,8 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the cluster's; only where none is set (tests) one is made.
     """
     sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-checkpoint-"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

@@ -128,9 +128,9 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Network | None:
     """Learns from text and lang of rows whose crc32(doc_id) modulo four is not two."""
     own = docs.where(F.col("lang").isNotNull() & (_sample.remainder(4) != 2)).select("doc_id")
-    rows = _sample.texts_of(docs.select("doc_id", "text", "lang"), _sample.draw(own, max_rows), max_rows)
+    rows = _sample.texts_of(docs.select("doc_id", "text", "lang"), _sample.draw(own, max_rows))
     part = F.expr(f"substring(encode(text, 'UTF-8'), 1, {WINDOW})"), F.expr(f"substring(encode(text, 'UTF-8'), greatest(1, cast(octet_length(text) / 2 as int)), {WINDOW})")
-    got = rows.where("octet_length(text) > 0 and lang is not null").select("lang", part[0].alias("a"), part[1].alias("b")).collect()
+    got = rows.where("octet_length(text) > 0 and lang is not null").select("lang", part[0].alias("a"), part[1].alias("b")).limit(2 * max_rows).collect()
     if not got:
         return None
     got = sorted(tuple(map(lambda v: v if isinstance(v, str) else bytes(v), r)) for r in got)

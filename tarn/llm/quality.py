@@ -142,7 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     """Learns ``quality`` from labelled rows whose crc32(doc_id) is no multiple of five."""
     own = labels.where(F.col("quality").isNotNull() & (_sample.remainder(5) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     drawn = _sample.draw(own, max_rows)
-    rows = statistics(_sample.texts_of(docs.select("doc_id", "text"), drawn, max_rows), "quality").select("row.*", *(f"s_{n}" for n in STATISTICS)).toPandas()
+    rows = statistics(_sample.texts_of(docs.select("doc_id", "text"), drawn), "quality").select("row.*", *(f"s_{n}" for n in STATISTICS))
+    rows = rows.limit(2 * max_rows).toPandas()
     x = rows[[f"s_{n}" for n in STATISTICS]].to_numpy(np.float64)
     return fit(x, rows["quality"].to_numpy(np.float64))
 

@@ -157,8 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
     positive = _sample.draw(own.where("toxic = 1").select("doc_id"), max_positive).withColumn("toxic", F.lit(1))
     unlabelled = _sample.draw(docs.where(_sample.remainder(5) != 0).select("doc_id"), max_unlabelled).withColumn("toxic", F.lit(0))
     drawn = positive.union(unlabelled)  # a toxic text may be drawn as unlabelled too, as the estimator assumes
-    texts = _sample.texts_of(docs.select("doc_id", "text"), drawn, max_positive + max_unlabelled)
-    rows = texts.mapInArrow(_words_of, "toxic int, words binary").toArrow()
+    texts = _sample.texts_of(docs.select("doc_id", "text"), drawn)
+    rows = texts.mapInArrow(_words_of, "toxic int, words binary").limit(2 * (max_positive + max_unlabelled)).toArrow()
     kinds: dict[int, dict[bytes, np.ndarray]] = {0: {}, 1: {}}
     for toxic, words in zip(rows["toxic"].to_pylist(), rows["words"].to_pylist(), strict=True):
         kinds[toxic][words] = np.frombuffer(words, np.uint32)
