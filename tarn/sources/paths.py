@@ -46,8 +46,7 @@ def _hadoop(spark: SparkSession, url: str):
 def listing(spark: SparkSession, path: Path) -> list[tuple[str, int, int]]:
     """(path below the given one, modification time in ms, size) of each file, all levels; nothing if nothing is there.
 
-    A path that is a file has one entry, of an empty name. An s3 path is a prefix
-    of keys in the reference language; here it is a folder or a file.
+    A path that is a file has one entry, of an empty name.
     """
     fs, top = _hadoop(spark, path.url)
     if not fs.exists(top):
