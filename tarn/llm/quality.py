@@ -155,4 +155,7 @@ def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, that score ``threshold`` or more."""
-    return statistics(docs, *docs.columns).where(model.column() >= threshold).select("row.*")
+    # with the partition id the optimizer leaves the score where it is: as a filter it would be
+    # pushed below the statistics, which would then be computed anew in every rule
+    score = F.when(F.spark_partition_id() >= 0, model.column()).alias("score")
+    return statistics(docs, *docs.columns).select("row", score).where(F.col("score") >= threshold).select("row.*")
