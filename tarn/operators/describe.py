@@ -90,7 +90,7 @@ def records(spark: SparkSession, table: Table) -> list[dict]:
     if table.kind == "json":
         if path.scheme == "dummy":
             return [{"foo": 4, "bar": i % 10} for i in range(RECORDS)]
-        texts = [r.t for r in json_source.read(spark, path, promote=False).df.select("t").limit(RECORDS).collect()]
+        texts = [r.t for r in json_source.read(spark, path, preview=True).df.select("t").limit(RECORDS).collect()]
         return [{k.lower(): v for k, v in json.loads(t).items()} for t in texts]
     if table.kind == "csv":
         if path.scheme not in ("files", "web"):

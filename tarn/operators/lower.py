@@ -92,7 +92,7 @@ class Lowering:
                 raise QueryError(f"{table.path} has no end: only a limit, and nothing that needs all rows, can stand above it")
             return self._typed(dummy(self.spark), alias)
         if table.kind == "json":
-            return self._json(path, alias)
+            return self._json(path, alias, limited)
         if table.kind == "csv":
             if path.scheme in ("kafka", "dummy"):
                 raise QueryError("csv can't be read from events")
@@ -119,8 +119,8 @@ class Lowering:
 
         return out, Raw(alias, value)
 
-    def _json(self, path: paths.Path, alias: str | None) -> tuple[DataFrame, Scope]:
-        got = json.read(self.spark, path, self.promote)
+    def _json(self, path: paths.Path, alias: str | None, preview: bool) -> tuple[DataFrame, Scope]:
+        got = json.read(self.spark, path, self.promote, preview)
         t, v = self._new(), self._new()
         df = got.df.select(F.col("t").alias(t), F.col("v").alias(v))
         root = Val(F.col(v), "variant", T.VariantType(), None, (F.col(t), "$"))
@@ -177,7 +177,7 @@ class Lowering:
     def select(self, s: Select, limited: bool = False) -> Result:
         outputs = [(o.name, unwrapped(o.expr)) for o in s.outputs]
         grouped = bool(s.group_by) or any(self._has_aggregate(e) for _, e in outputs)
-        df, scope = self.source(s.source, limited=not grouped and not s.order_by and (limited or s.limit is not None))
+        df, scope = self.source(s.source, limited=not grouped and not s.order_by and s.where is None and (limited or s.limit is not None))
         if s.where is not None:
             df = df.where(self.truth(unwrapped(s.where), scope))
         if grouped:

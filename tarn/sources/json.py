@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,8 +26,9 @@ from tarn.errors import QueryError
 from tarn.sources import paths
 from tarn.sources.paths import Path
 
-#: Two objects or arrays side by side; within one JSON value this only occurs in strings.
-_SIDE_BY_SIDE = r"[}\]]\s*[{\[]"
+#: Two objects or arrays side by side; within one JSON value this only occurs in strings, which are blanked before a line is judged by it.
+_SIDE_BY_SIDE, _STRING = r"[}\]]\s*[{\[]", r'"(?:[^"\\]++|\\.)*+"'
+PEEK = 1000
 _BETWEEN = re.compile(r"[\s,\[\]]*")
 
 
@@ -115,15 +116,25 @@ class _Schema:
         return known.get(word, T.VariantType())
 
 
-def read(spark: SparkSession, path: Path, promote: bool = True) -> Records:
-    """The records of a JSON table; with ``promote`` fields of one type are known as such."""
+def _odd(t: Column) -> Column:
+    """Whether a line is anything but one whole object."""
+    blank = F.regexp_replace(t, _STRING, F.lit('""'))
+    beside = F.when(t.rlike(_SIDE_BY_SIDE), blank.rlike(_SIDE_BY_SIDE)).otherwise(False)
+    return F.try_parse_json(t).isNull() | ~t.startswith("{") | ~t.endswith("}") | beside
+
+
+def read(spark: SparkSession, path: Path, promote: bool = True, preview: bool = False) -> Records:
+    """The records of a JSON table; with ``promote`` fields of one type are known as such, unless it is a preview."""
+    promote = promote and not preview
     if path.scheme == "kafka":
         return _parsed(paths.kafka(spark, path).select(F.translate("value", "\0", "").alias("t")), promote)
     if path.scheme == "files" and paths.exists(spark, path):
         rows = paths.lines(spark, path).select(F.trim(F.translate("value", "\0\r", "")).alias("t")).where("t <> ''")
-        v = F.try_parse_json("t")
-        odd = F.count_if(v.isNull() | ~F.col("t").startswith("{") | F.col("t").rlike(_SIDE_BY_SIDE))
-        odd_lines, schema = rows.agg(odd, F.schema_of_variant_agg(v)).first()
+        if preview:
+            if not rows.limit(PEEK).where(_odd(F.col("t"))).isEmpty():
+                return _parsed(paths.whole_texts(spark, path).mapInPandas(_cut, "t string"), False)
+            return _parsed(rows.withColumnRenamed("t", "value").mapInPandas(_cut, "t string"), False)  # line by line
+        odd_lines, schema = rows.agg(F.count_if(_odd(F.col("t"))), F.schema_of_variant_agg(F.try_parse_json("t"))).first()
         if not odd_lines:
             return Records(rows.select("t", F.parse_json("t").alias("v")), _known(schema) if promote else {})
     return _parsed(paths.whole_texts(spark, path).mapInPandas(_cut, "t string"), promote)
