@@ -7,7 +7,7 @@ columns of the documents they got.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import decontaminate, packing, quality, simhash, substring_dedup
@@ -21,14 +21,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs, model)
 
 
+def row_key() -> Column:
+    """What tells rows apart: doc_id (null sorts last) and the text, since ids may be null or repeat."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id."""
-    groups = cut(simhash.near_duplicates(docs).select("doc_id", "component_id"))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = first.select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    groups = cut(simhash.near_duplicates(docs.select(row_key().alias("doc_id"), "text")).select("doc_id", "component_id"))
+    first = groups.where(F.col("doc_id") == F.col("component_id"))
+    keys = first.select(F.col("doc_id").alias("kept_key")).distinct()
+    kept = docs.join(keys, row_key() == F.col("kept_key"), "left_semi")
     repeats = first.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id"])
+    return kept if repeats.isEmpty() else kept.withColumn("row_key", row_key()).dropDuplicates(["row_key"]).drop("row_key")
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +47,10 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no benchmark item."""
-    found = decontaminate.contaminated(docs, documents(spark, sf_dir, "item_id", "text", table="benchmark"))
-    ids = cut(found).withColumnRenamed("doc_id", "leaked_id")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    rows = docs.select(row_key().alias("doc_id"), "text")
+    found = decontaminate.contaminated(rows, documents(spark, sf_dir, "item_id", "text", table="benchmark"))
+    keys = cut(found).withColumnRenamed("doc_id", "leaked_key")
+    return docs.join(keys, row_key() == F.col("leaked_key"), "left_anti")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

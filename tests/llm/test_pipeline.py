@@ -68,6 +68,23 @@ def test_repeated_ids(spark):
     assert sorted(((r.doc_id or 0) for r in corpus_pipeline.near_dedup_stage(spark, df, D).collect())) == [0, 1, 5]
 
 
+def test_different_texts_of_one_id_or_none(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    df = spark.createDataFrame([(None, a), (None, b), (7, c), (7, d), (8, d)], "doc_id long, text string")
+    assert sorted(r.text for r in corpus_pipeline.near_dedup_stage(spark, df, D).collect()) == [a, b, c, d]
+    df = spark.createDataFrame([(3, a), (5, a), (5, b)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.near_dedup_stage(spark, df, D).collect())) == [(3, a), (5, b)]
+    df = spark.createDataFrame([(None, a), (4, a)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, df, D).collect()] == [4]
+
+
+def test_leaks_take_no_clean_row_of_their_id(spark):
+    leak = spark.read.parquet(f"{D}/benchmark.parquet").first().text
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    df = spark.createDataFrame([(None, leak), (None, a), (7, b), (7, leak), (9, None)], "doc_id long, text string")
+    assert {tuple(r) for r in corpus_pipeline.decontamination_stage(spark, df, D).collect()} == {(None, a), (7, b), (9, None)}
+
+
 def test_run(spark):
     rows = corpus_pipeline.run(spark, D).collect()
     assert rows and {r.doc_id for r in rows} and queries.queries()
