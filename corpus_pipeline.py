@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import decontaminate, packing, quality, simhash, substring_dedup
+from tarn.llm import decontaminate, near_copies, packing, quality, substring_dedup
 from tarn.llm._store import cut, documents
 from tarn.llm.queries import tokenizer_path
 
@@ -28,7 +28,7 @@ def row_key() -> Column:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id."""
-    groups = cut(simhash.near_duplicates(docs.select(row_key().alias("doc_id"), "text")).select("doc_id", "component_id"))
+    groups = cut(near_copies.near_duplicates(docs.select(row_key().alias("doc_id"), "text")))
     first = groups.where(F.col("doc_id") == F.col("component_id"))
     keys = first.select(F.col("doc_id").alias("kept_key")).distinct()
     kept = docs.join(keys, row_key() == F.col("kept_key"), "left_semi")

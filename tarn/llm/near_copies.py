@@ -1,0 +1,195 @@
+"""Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of at least 0.8.
+
+MinHash finds candidates and exact sets decide. A text has ``BANDS`` keys of
+``ROWS`` minima each, all functions of its set; texts that share a key are
+compared. A pair of similarity s shares one with probability
+1 - (1 - s**5)**32: all but 3 in a million at 0.8, more above it.
+
+A key's texts are compared all with all, by counting common shingles in a
+matrix product. Keys held by the same texts are compared once. Keys of more than
+``CROWD`` texts are cut into segments and each two segments meet in a task, so
+no group is dropped or sampled and none lands in one task.
+
+Exact copies (of the whole text) count once from the start. Only texts that share a
+key are read again for their sets. Components come from star contraction.
+
+Defined cases: words are split and lower-cased as in ``simhash``; a text of fewer than five words is one
+shingle; null and wordless texts are alike; repeated rows and ids keep a row
+each; null doc_id gets its component's smallest; other columns are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tarn.llm import _text
+from tarn.llm._components import components
+from tarn.llm._store import cut
+
+SHINGLE, SHARE = 5, 0.8
+ROWS, BANDS, CROWD = 5, 32, 1024
+#: Columns of the matrix that are multiplied at a time.
+WIDTH = 8192
+_SALT = np.random.default_rng(41).integers(1, 1 << 63, (2, ROWS * BANDS), dtype=np.uint64)
+
+
+def shingles(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets): the shingles of each text, in order and with repeats."""
+    buf = _text.LOWER[buf]
+    starts, ends, first = _text.words(buf, offs)
+    h = _text.word_hashes(buf, starts, ends)
+    n = np.diff(first)
+    full = np.flatnonzero(n >= SHINGLE)
+    size = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
+    to = np.concatenate(([0], np.cumsum(size)))
+    out = np.empty(to[-1], np.uint64)
+    if len(full):
+        run = np.repeat(first[full] - to[full], size[full])
+        at = np.arange(len(run)) - np.repeat(np.cumsum(size[full]) - size[full], size[full]) + np.repeat(to[full], size[full])
+        x = np.zeros(len(run), np.uint64)
+        for k in range(SHINGLE):
+            x = _text.mix(x * np.uint64(0x9E3779B97F4A7C15) + h[at + run + k], k + 1)
+        out[at] = x
+    for i in np.flatnonzero((n > 0) & (n < SHINGLE)).tolist():
+        out[to[i]] = xxhash.xxh64_intdigest(h[first[i] : first[i + 1]].tobytes(), 42)
+    return out, to
+
+
+def _bands(h: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each text."""
+    n = len(to) - 1
+    out, some = np.zeros((n, BANDS), np.uint64), np.flatnonzero(np.diff(to))
+    if len(some):
+        for i in range(ROWS * BANDS):
+            low = np.minimum.reduceat((h ^ _SALT[0, i]) * (_SALT[1, i] | np.uint64(1)), to[some])
+            out[some, i // ROWS] = _text.mix(out[some, i // ROWS] + low, i + 1)
+    return out
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        buf, offs = _text.column(batch, "text")
+        for a, b in _text.slices(offs, 1 << 18):
+            keys = _bands(*shingles(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]))
+            lists = pa.ListArray.from_arrays(np.arange(b - a + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("h").slice(a, b - a), lists], ["doc_id", "h", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        buf, offs = _text.column(batch, "text")
+        for a, b in _text.slices(offs):
+            x, to = shingles(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
+            own = [np.unique(x[i:j]).tobytes() for i, j in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("h").slice(a, b - a), pa.array(own, pa.binary())], ["h", "own"])
+
+
+def similar(own: list[np.ndarray]) -> np.ndarray:
+    """Which two of the sets have a similarity of SHARE or more: a square matrix."""
+    n, size = len(own), np.array([len(x) for x in own])
+    row = np.repeat(np.arange(n), size)
+    values, col, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    often = count > 1
+    place = np.cumsum(often) - 1
+    row, col = row[often[col]], place[col[often[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((n, n), np.float32)
+    for a in range(0, int(often.sum()), WIDTH):
+        i, j = np.searchsorted(col, (a, a + WIDTH))
+        m = np.zeros((n, int(col[j - 1]) - a + 1), np.float32)
+        m[row[i:j], col[i:j] - a] = 1
+        both += m @ m.T
+    either = size[:, None] + size[None, :] - both
+    return (both >= SHARE * either) | (either == 0)  # two empty sets are alike
+
+
+def _linked(h: list[str], own: list[bytes]):
+    near = similar([np.frombuffer(x, np.uint64) for x in own])
+    np.fill_diagonal(near, True)
+    label = np.arange(len(h))
+    while True:
+        new = np.where(near, label, len(h)).min(1)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = np.flatnonzero(label != np.arange(len(h)))
+    return [h[i] for i in out], [h[i] for i in label[out]]
+
+
+def _links(batches):
+    """Of rows (k, a, b, h, own) sorted by key: edges of a spanning star of each linked part of a key's texts."""
+    import pandas as pd
+
+    key, h, own = None, [], []
+    for pdf in batches:
+        us, vs = [], []
+        for k, a, b, x, y in zip(pdf["k"], pdf["a"], pdf["b"], pdf["h"], pdf["own"], strict=True):
+            if (k, a, b) != key:
+                u, v = _linked(h, own) if len(h) > 1 else ([], [])
+                us += u
+                vs += v
+                key, h, own = (k, a, b), [], []
+            h.append(x)
+            own.append(y)
+        yield pd.DataFrame({"u": pd.Series(us, dtype=object), "v": pd.Series(vs, dtype=object)})
+    u, v = _linked(h, own) if len(h) > 1 else ([], [])
+    yield pd.DataFrame({"u": pd.Series(u, dtype=object), "v": pd.Series(v, dtype=object)})
+
+
+def edges(nodes: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Edges (u, v) that connect just the texts (column h) which links connect; nodes has h and bands, texts h and text."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = nodes.select("h", F.posexplode("bands").alias("i", "band")).select("h", F.xxhash64("i", "band").alias("k"))
+    sizes = keys.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "h")).alias("y")).where("n > 1")
+    chosen = sizes.groupBy("n", "x", "y").agg(F.min("k").alias("j")).select("j", "n")
+    shared = cut(keys.join(chosen, F.col("k") == F.col("j")).select("k", "h", "n"))
+    wanted = shared.select(F.col("h").alias("w")).distinct()
+    whole = texts.join(wanted, F.col("h") == F.col("w"), "left_semi").groupBy("h").agg(F.first("text").alias("text"))
+    own = whole.mapInArrow(_sets, "h string, own binary").withColumnRenamed("h", "w")
+    parts = F.ceil(F.col("n") / crowd).cast("int")
+    shared = shared.withColumn("s", parts).withColumn("g", F.expr("cast(pmod(xxhash64(h, 5), s) as int)"))
+    shared = shared.select("k", "h", "g", F.explode(F.expr("if(s = 1, array(0), filter(sequence(0, s - 1), o -> o <> g))")).alias("o"))
+    met = shared.select("k", F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), "h")
+    met = met.join(own, F.col("h") == F.col("w")).select("k", "a", "b", "h", "own")
+    return met.repartition(n, "k", "a", "b").sortWithinPartitions("k", "a", "b").mapInPandas(_links, "u string, v string")
+
+
+def near_duplicates(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """doc_id and component_id: the smallest doc_id that links reach, its own included."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    marked = cut(texts.mapInArrow(_keyed, f"doc_id {kind}, h string, bands array<long>"))
+    nodes = cut(marked.groupBy("h").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")))
+    roots = components(edges(nodes, texts.select("h", "text"), crowd))
+    rooted = nodes.join(roots, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("root", "h").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
+    named = rooted.join(least, F.col("root") == F.col("r")).select(F.col("h").alias("f"), "component_id")
+    return marked.join(named, F.col("h") == F.col("f"), "left").select("doc_id", "component_id")
+
+
+def brute_force(rows: list[tuple]) -> dict:
+    """doc_id -> component, comparing every pair of texts."""
+
+    def own(text: str | None) -> set[bytes]:
+        w = (text or "").encode().lower().split()
+        return {b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
+
+    sets = [own(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            if len(x & y) >= SHARE * len(x | y) and label[i] != label[j]:
+                old, new = label[i], label[j]
+                label = [new if z == old else z for z in label]
+    least = {}
+    for (d, _), z in zip(rows, label, strict=True):
+        least[z] = min(least.get(z, d), d)
+    return {d: least[z] for (d, _), z in zip(rows, label, strict=True)}

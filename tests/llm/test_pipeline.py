@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 import corpus_pipeline
-from tarn.llm import decontaminate, queries, simhash, substring_dedup
+from tarn.llm import decontaminate, near_copies, queries, simhash, substring_dedup
 
 D = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(D).exists(), reason="no tables")
@@ -68,6 +68,16 @@ def test_repeated_ids(spark):
     assert sorted(((r.doc_id or 0) for r in corpus_pipeline.near_dedup_stage(spark, df, D).collect())) == [0, 1, 5]
 
 
+def test_near_copies_of_five_word_similarity(spark, stages):
+    a, b = stages["near_dedup"]
+    groups = near_copies.brute_force([(r.doc_id, r.text) for r in a.collect()])
+    assert sorted(r.doc_id for r in b.collect()) == sorted(d for d, c in groups.items() if c == d)
+    df = spark.read.parquet(f"{D}/documents.parquet")
+    force = near_copies.brute_force([(r.doc_id, r.text) for r in df.collect()])
+    for crowd in (near_copies.CROWD, 2):
+        assert {r.doc_id: r.component_id for r in near_copies.near_duplicates(df, crowd).collect()} == force
+
+
 def test_different_texts_of_one_id_or_none(spark):
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
     df = spark.createDataFrame([(None, a), (None, b), (7, c), (7, d), (8, d)], "doc_id long, text string")
