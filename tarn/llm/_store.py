@@ -3,21 +3,50 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder in spark.checkpoint.dir. Only a local master, as in tests, gets one made where none is set."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        own = sc.getConf().get("spark.checkpoint.dir")
+        if own is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="tarn-checkpoint-")
+        sc.setCheckpointDir(own)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df once to the folder in spark.checkpoint.dir and reads it from there.
+    """Writes df once to the shared folder and reads it from there.
 
-    The folder is the cluster's; only where none is set (tests) one is made.
+    Where the cluster doesn't say otherwise, Spark deletes the copy when no DataFrame refers to it any more.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tarn-checkpoint-"))
+    folder(df.sparkSession)
+    conf = df.sparkSession.sparkContext._jsc.sc().conf()
+    conf.setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted when the application ends."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return path
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """df written as compressed Parquet to the shared folder, and read from there."""
+    path = place(df.sparkSession, name)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def documents(spark, sf_dir: str, *columns: str, table: str = "documents") -> DataFrame:
     """The named columns of a table of the data directory."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
