@@ -8,8 +8,9 @@ where gradients only reach the largest responses. A text's probabilities are the
 mean of its windows', by bytes; every window of every text counts.
 
 Learning reads at most ``max_rows`` labelled texts, chosen by a hash of their id,
-and from each at most ``WINDOWS`` windows; the windows reach the driver. Scoring
-is a pass over Arrow batches without a shuffle.
+and from each at most ``windows`` of all its windows, chosen by a hash of the text;
+those reach the driver, which sorts them. An id that repeats is learned from once a
+language. Scoring is a pass over Arrow batches without a shuffle.
 
 Defined cases: null text and text without a letter are ``und`` with score 0;
 texts whose lang is null are not learned from; with nothing to learn from all is
@@ -125,22 +126,22 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str], epochs: i
     return net
 
 
-def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Network | None:
+def train(docs: DataFrame, max_rows: int = MAX_ROWS, windows: int = WINDOWS) -> Network | None:
     """Learns from text and lang of rows whose crc32(doc_id) modulo four is not two."""
-    own = docs.where(F.col("lang").isNotNull() & (_sample.remainder(4) != 2)).select("doc_id")
-    rows = _sample.texts_of(docs.select("doc_id", "text", "lang"), _sample.draw(own, max_rows))
-    part = F.expr(f"substring(encode(text, 'UTF-8'), 1, {WINDOW})"), F.expr(f"substring(encode(text, 'UTF-8'), greatest(1, cast(octet_length(text) / 2 as int)), {WINDOW})")
-    got = rows.where("octet_length(text) > 0 and lang is not null").select("lang", part[0].alias("a"), part[1].alias("b")).limit(2 * max_rows).collect()
+    own = docs.where(F.col("lang").isNotNull() & (_sample.remainder(4) != 2)).select("doc_id", F.col("lang").alias("known"))
+    met = _sample.texts_of(docs.select("doc_id", "text"), _sample.draw(own, max_rows)).where("octet_length(text) > 0")
+    # of all windows of the whole text, those that its hash names
+    raw, count = "encode(text, 'UTF-8')", f"ceil(octet_length(text) / {WINDOW})"
+    parts = f"transform(array_distinct(transform(sequence(1, {windows}), j -> pmod(xxhash64(text_hash, j), {count}))), w -> substring({raw}, cast(w * {WINDOW} + 1 as int), {WINDOW}))"
+    rows = _sample.one_each(met.withColumn("parts", F.expr(parts)), ["doc_id", "known"], "parts").select("known", "parts").collect()
+    got = sorted({(r.known, bytes(t)) for r in rows for t in r.parts})
     if not got:
         return None
-    got = sorted(tuple(map(lambda v: v if isinstance(v, str) else bytes(v), r)) for r in got)
-    languages = sorted({r[0] for r in got})
-    texts = [t for r in got for t in (r[1:] if len(r[1]) == WINDOW else r[1:2])]
-    labels = [languages.index(r[0]) for r in got for _ in (r[1:] if len(r[1]) == WINDOW else r[1:2])]
-    data = np.zeros((len(texts), WINDOW), np.uint8)
-    for i, t in enumerate(texts):
+    languages = sorted({lang for lang, _ in got})
+    data = np.zeros((len(got), WINDOW), np.uint8)
+    for i, (_, t) in enumerate(got):
         data[i, : len(t)] = np.frombuffer(t, np.uint8)
-    return fit(X.LOWER[data], np.array(labels), languages)
+    return fit(X.LOWER[data], np.array([languages.index(lang) for lang, _ in got]), languages)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], net: Network):

@@ -8,7 +8,9 @@ become zero. The rest is compiled to one column expression, so scoring is a
 projection without Python or shuffle.
 
 Learning reads at most ``max_rows`` labelled rows (chosen by a hash of their id);
-the ids are broadcast, and only statistics reach the driver.
+the ids are broadcast, and only statistics reach the driver, where they are sorted:
+partitioning and the order of rows don't change the model. An id that repeats is
+learned from once a label, by its text of the smallest hash.
 
 Defined cases: null text counts as empty; an empty text is scored like any other;
 labels that are null are no labels; with labels of one value only, or none, the
@@ -139,13 +141,19 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Learns ``quality`` from labelled rows whose crc32(doc_id) is no multiple of five."""
+    """Learns ``quality`` from labelled rows whose crc32(doc_id) is no multiple of five.
+
+    What is fitted is sorted first, so the model doesn't depend on partitions or the order of rows.
+    """
     own = labels.where(F.col("quality").isNotNull() & (_sample.remainder(5) != 0)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     drawn = _sample.draw(own, max_rows)
-    rows = statistics(_sample.texts_of(docs.select("doc_id", "text"), drawn), "quality").select("row.*", *(f"s_{n}" for n in STATISTICS))
-    rows = rows.limit(2 * max_rows).toPandas()
-    x = rows[[f"s_{n}" for n in STATISTICS]].to_numpy(np.float64)
-    return fit(x, rows["quality"].to_numpy(np.float64))
+    names = [f"s_{n}" for n in STATISTICS]
+    met = _sample.texts_of(docs.select("doc_id", "text"), drawn)
+    rows = statistics(met, "doc_id", "quality", "text_hash").select("row.*", *names)
+    rows = _sample.one_each(rows, ["doc_id", "quality"], *names).select("quality", *names).toPandas()
+    x, y = rows[names].to_numpy(np.float64), rows["quality"].to_numpy(np.float64)
+    order = np.lexsort((y, *x.T))
+    return fit(x[order], y[order])
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

@@ -12,8 +12,11 @@ given, the share among labelled rows stands for it (``DEFAULT_PRIOR`` if all of
 those are toxic). Copies of a text count once in learning.
 
 Learning reads at most ``max_positive`` and ``max_unlabelled`` texts, chosen by a
-hash of their id; what reaches the driver is the hashes of their words. Scoring
-is a pass of numpy over Arrow batches, without a shuffle.
+hash of their id. Their words are counted in Spark, and the ``most`` significant
+chosen there; what reaches the driver is those and, of each text, a bit for each of
+them, sorted: neither the length of texts nor the order of rows matters. An id that
+repeats is learned from once a label, by its text of the smallest hash. Scoring is a
+pass of numpy over Arrow batches, without a shuffle.
 
 Defined cases: null or empty text has no words and gets the model's base score;
 labels that are null are no labels; without toxic examples the score is 0;
@@ -32,11 +35,12 @@ from pyspark.sql import functions as F
 
 from tarn.llm import _sample
 from tarn.llm import _text as X
+from tarn.llm._store import cut
 
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3_000, 8_000, 512
 PREFIXES = (4, 5, 6, 7)
 DEFAULT_PRIOR = 0.1
-SIGNIFICANT, LIFT = 5.0, 4.0
+SIGNIFICANT, LIFT, LEAST = 5.0, 4.0, 3
 U64 = np.uint64
 
 
@@ -99,31 +103,13 @@ def risk_gradient(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[np.nd
     return -prior * sig(-z_p) / len(z_p) + up_p, up_u
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = MAX_FEATURES, steps: int = 500, decay: float = 1e-4) -> Model:
-    """Each text is the array of its distinct features."""
+def fit(x_p: np.ndarray, x_u: np.ndarray, words: np.ndarray, prior: float, steps: int = 500, decay: float = 1e-4) -> Model:
+    """x_p, x_u: which of the words (sorted hashes) each toxic and each unlabelled text has."""
     none = np.zeros(0, np.uint32)
-    if not positive or not unlabelled:
-        return Model(-50.0 if not positive else 0.0, none, np.zeros(0))
-    words, n_p = np.unique(np.concatenate(positive), return_counts=True)
-    all_u, c = np.unique(np.concatenate([*unlabelled, words]), return_counts=True)
-    n_u = c[np.searchsorted(all_u, words)] - 1
-    p, u = n_p / len(positive), (n_u + 1) / (len(unlabelled) + 2)
-    # words that toxic texts have significantly more often than texts at large
-    z = (p - u) / np.sqrt(u * (1 - u) / len(positive))
-    z = np.where((n_p >= 3) & (p > LIFT * u) & (z >= SIGNIFICANT), z, 0)
-    own = np.sort(np.argsort(-z, kind="stable")[: min(most, int((z > 0).sum()))])
-    words = words[own]
+    if not len(x_p) or not len(x_u):
+        return Model(-50.0 if not len(x_p) else 0.0, none, np.zeros(0))
     if not len(words):
         return Model(float(np.log(prior / (1 - prior))), none, np.zeros(0))
-
-    def dense(texts):
-        x = np.zeros((len(texts), len(words)), np.float32)
-        for i, t in enumerate(texts):
-            at = np.minimum(np.searchsorted(words, t), len(words) - 1)
-            x[i, at[words[at] == t]] = 1
-        return x
-
-    x_p, x_u = dense(positive), dense(unlabelled)
     w, bias = np.zeros(len(words)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(words) + 1), np.zeros(len(words) + 1)
     for i in range(1, steps + 1):
@@ -142,13 +128,26 @@ def _words_of(batches: Iterator[pa.RecordBatch]):
         for a, b in X.slices(offs):
             h, doc = map(np.concatenate, zip(*features(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]), strict=True))
             each = np.unique(doc.astype(U64) << U64(32) | h)
-            cut = np.searchsorted(each >> U64(32), np.arange(b - a + 1))
-            low = each.astype(np.uint32)
-            got = [low[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), pa.array(got, pa.binary())], ["toxic", "words"])
+            bounds = np.searchsorted(each >> U64(32), np.arange(b - a + 1))
+            words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(each.astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "toxic", "text_hash")), words], ["doc_id", "toxic", "text_hash", "words"])
 
 
-def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def _has(batches: Iterator[pa.RecordBatch], words: np.ndarray):
+    for batch in batches:
+        col = batch.column("words")
+        at, values = np.asarray(col.offsets), np.asarray(col.values).view(np.uint32)
+        place = np.minimum(np.searchsorted(words, values), len(words) - 1)
+        hit = np.zeros((len(batch), len(words)), bool)
+        own = np.flatnonzero(words[place] == values)
+        row = np.searchsorted(at, own, "right") - 1
+        inside = (row >= 0) & (row < len(batch))
+        hit[row[inside], place[own[inside]]] = True
+        bits = [x.tobytes() for x in np.packbits(hit, axis=1)]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(bits, pa.binary())], ["toxic", "bits"])
+
+
+def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, most: int = MAX_FEATURES) -> Model:
     """Learns ``toxic`` from rows whose crc32(doc_id) is no multiple of five."""
     own = labels.where(F.col("toxic").isNotNull() & (_sample.remainder(5) != 0))
     if prior is None:
@@ -158,12 +157,23 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None, max_po
     unlabelled = _sample.draw(docs.where(_sample.remainder(5) != 0).select("doc_id"), max_unlabelled).withColumn("toxic", F.lit(0))
     drawn = positive.union(unlabelled)  # a toxic text may be drawn as unlabelled too, as the estimator assumes
     texts = _sample.texts_of(docs.select("doc_id", "text"), drawn)
-    rows = texts.mapInArrow(_words_of, "toxic int, words binary").limit(2 * (max_positive + max_unlabelled)).toArrow()
-    kinds: dict[int, dict[bytes, np.ndarray]] = {0: {}, 1: {}}
-    for toxic, words in zip(rows["toxic"].to_pylist(), rows["words"].to_pylist(), strict=True):
-        kinds[toxic][words] = np.frombuffer(words, np.uint32)
-    p, u = ([x for _, x in sorted(kinds[k].items())] for k in (1, 0))
-    return fit(p, u, prior)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(_words_of, f"doc_id {kind}, toxic int, text_hash long, words array<int>")
+    rows = cut(_sample.one_each(rows, ["doc_id", "toxic"], "words").select("toxic", "words").distinct())
+    size = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_p, n_u = size.get(1, 0), size.get(0, 0)
+    if not n_p or not n_u:
+        return fit(np.zeros((n_p, 0)), np.zeros((n_u, 0)), np.zeros(0, np.uint32), prior)
+    each = rows.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("u"))
+    p, u = F.col("p") / n_p, (F.col("u") + 1) / (n_u + 2)
+    z = (p - u) / F.sqrt(u * (1 - u) / n_p)
+    top = each.where((F.col("p") >= LEAST) & (p > LIFT * u) & (z >= SIGNIFICANT)).orderBy(z.desc(), "word").limit(most)
+    words = np.sort(np.array([r.word for r in top.collect()], np.int32).view(np.uint32))
+    if not len(words):
+        return fit(np.zeros((n_p, 0)), np.zeros((n_u, 0)), words, prior)
+    got = sorted((r.toxic, bytes(r.bits)) for r in rows.mapInArrow(lambda it: _has(it, words), "toxic int, bits binary").collect())
+    x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for _, b in got]), axis=1, count=len(words)).astype(np.float32)
+    return fit(x[n_u:], x[:n_u], words, prior)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model):
