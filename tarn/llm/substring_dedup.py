@@ -10,16 +10,21 @@ a window whose word sequence also starts anywhere else is removed.
    overestimates window counts. Only one place in ten is an anchor, so the
    sketch stays small. Each task sketches its own rows; counters saturate at two
    and are added up by segment.
-2. *Exact second pass.* Windows whose estimate reaches two are grouped by a
-   96-bit fingerprint. A task sends each distinct fingerprint of a flush once,
+2. *Exact second pass.* Windows whose estimate reaches two are grouped by 96 bits
+   of two rolling hashes. Both are made of the words' 64-bit hashes, so two windows
+   are taken for equal if those agree word by word (words that collide in 64 bits
+   would be mistaken for each other) or by a chance of 2**-96 a pair of windows.
+   A task sends each distinct fingerprint of a flush once,
    with a mark if it occurs more than once there, so a window that a third of
    all rows share is one entry per flush and never a hot key.
 3. Hits go back to the flush that sent them and from there to their documents.
 
-What grows with the corpus is only shuffled or checkpointed. The driver holds
-the merged sketch alone: ``cells`` bits, at most ``max_cells``. Beyond about
-``max_cells`` / 4 anchors (some 2**30 words) the sketch lets more windows
-through, which costs shuffle and loses nothing.
+What grows with the corpus is only shuffled. The driver holds the merged sketch
+alone: four rows of at most 2**``max_bits`` bits. That is enough for some 30 GB of
+text; the larger the corpus beyond, the more windows pass the prefilter, up to all
+of them. That loses nothing and costs shuffle: some 14 bytes a word, 2.3 times the
+text, however large it is. Sketches are merged in two steps and the groups of the
+second pass grow in number with the corpus, so no task grows with it.
 
 Defined cases: null or empty text has no words and loses none; texts shorter
 than a window lose none; repeated rows, also of one doc_id, count as occurrences
@@ -36,6 +41,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tarn.llm import _store
 from tarn.llm import _text as X
@@ -119,7 +125,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], window: int, anchor: int, bits: i
         yield flush()
 
 
-def _merge(key, pdf, bits: int):
+def _merge(key, pdf, bits: int, part: bool = False):
+    """Counts of a segment's cells, saturated at two: as bits, or (``part``) in the form of the sketches."""
     import pandas as pd
 
     seg_bits = bits - (segments(bits).bit_length() - 1)
@@ -129,12 +136,20 @@ def _merge(key, pdf, bits: int):
         i, j = np.frombuffer(ones, kind), np.frombuffer(twos, kind)
         total[i] += total[i] < 2
         total[j] = 2
+    if part:
+        return pd.DataFrame({"seg": [key[0]], "ones": [np.flatnonzero(total).astype(kind).tobytes()], "twos": [np.flatnonzero(total == 2).astype(kind).tobytes()]})
     return pd.DataFrame({"seg": [key[0]], "bits": [np.packbits(total >= 2, bitorder="little").tobytes()]})
 
 
-def repeated_bits(docs: DataFrame, window: int, anchor: int, bits: int) -> np.ndarray:
-    """ROWS x 2**bits bits: whether the merged count of a cell is two or more. A few MB, whatever the corpus."""
+def repeated_bits(docs: DataFrame, window: int, anchor: int, bits: int, shares: int = 1) -> np.ndarray:
+    """ROWS x 2**bits bits: whether the merged count of a cell is two or more. A few MB, whatever the corpus.
+
+    ``shares``: into how many parts the flushes of a segment are dealt before those are merged.
+    """
     parts = docs.select("text").mapInArrow(lambda it: _sketch(it, window, anchor, bits), "seg int, ones binary, twos binary")
+    if shares > 1:
+        some = parts.groupBy("seg", F.pmod(F.xxhash64("ones", "twos"), F.lit(shares)).alias("share"))
+        parts = some.applyInPandas(lambda key, pdf: _merge(key, pdf, bits, True), "seg int, ones binary, twos binary")
     merged = parts.groupBy("seg").applyInPandas(lambda key, pdf: _merge(key, pdf, bits), "seg int, bits binary")
     out = np.zeros((ROWS * segments(bits), (1 << bits) // segments(bits) // 8), np.uint8)
     for seg, data in merged.collect():
@@ -263,52 +278,56 @@ def _returned(pdf):
     return pd.DataFrame(rows, columns=["d", "t", "starts"])
 
 
-def _apply(batches: Iterator[pa.RecordBatch], window: int):
+def _apply(batches: Iterator[pa.RecordBatch], window: int, as_is: bool):
     for batch in batches:
         texts, starts = batch.column("text"), batch.column("starts")
         total, gone, kept = [], [], []
         for i in range(len(batch)):
             s = texts[i].as_buffer()
-            words = s.to_pybytes().split() if s is not None else []
+            raw = None if s is None else s.to_pybytes()
+            words = (raw or b"").split()
             lost = 0
             if starts[i].is_valid:
                 cover = np.zeros(len(words) + 1, np.int32)
-                for one in starts[i].values:
-                    at = np.frombuffer(one.as_py(), np.uint32)
-                    np.add.at(cover, at, 1)
-                    np.add.at(cover, at + window, -1)
+                at = np.frombuffer(starts[i].as_buffer(), np.uint32)
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + window, -1)
                 stay = np.cumsum(cover[:-1]) == 0
                 lost = int(len(words) - stay.sum())
                 words = [words[k] for k in np.flatnonzero(stay)]
             total.append(len(words) + lost)
             gone.append(lost)
-            kept.append(b" ".join(words))
+            kept.append(raw if as_is and not lost else b" ".join(words))
         kept = pa.array(kept, pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), kept.cast(pa.string()), *(batch.column(c) for c in batch.schema.names if c.startswith("c__"))], ["doc_id", "n_words", "n_removed", "kept_text", *(c for c in batch.schema.names if c.startswith("c__"))])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_bits: int = 28, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, max_bits: int = 28, carry: tuple[str, ...] = (), as_is: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space), then ``carry``'d columns as they are.
 
+    ``as_is``: kept_text is the text itself (null for null) where nothing is removed.
     docs: doc_id and text, read four times; it should be a table or a file.
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", *(F.col(c).alias(f"c__{c}") for c in carry))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = sketch_bits(n_bytes, most=max_bits)
-    plane = spark.sparkContext.broadcast(repeated_bits(docs, window, anchor, bits))
+    plane = spark.sparkContext.broadcast(repeated_bits(docs, window, anchor, bits, 1 + (n_bytes >> 35)))
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = int(min(4096, max(4 * shuffle, n_bytes >> 23, 16)))
+    parts = int(max(4 * shuffle, n_bytes >> 23, 16))
     # a document is known by its id and a hash of its text, so repeated ids do no harm
     rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = rows.mapInArrow(lambda it: _candidates(it, window, anchor, bits, plane.value, parts), "r int, flush long, kind int, a binary, b binary, w binary")
     hits = sent.groupBy("r").applyInPandas(_exact, "flush long, kind int, a binary, b binary, w binary")
     spans = hits.groupBy("flush").applyInPandas(_returned, f"d {kind}, t long, starts binary")
-    spans = spans.groupBy("d", "t").agg(F.collect_list("starts").alias("starts"))  # one per row, or per repeat of it
+    # rows alike in id and text all have the same starts
+    spans = spans.groupBy("d", "t").agg(F.max("starts").alias("starts"))
     joined = keyed.withColumn("t", F.xxhash64("text")).join(spans.withColumnRenamed("t", "u"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("u")), "left").drop("d", "t", "u")
-    kept = f"doc_id {kind}, n_words long, n_removed long, kept_text string" + "".join(f", `c__{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    out = joined.mapInArrow(lambda it: _apply(it, window), kept)
+    kept = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
+    for c in carry:
+        kept.add(f"c__{c}", docs.schema[c].dataType)
+    out = joined.mapInArrow(lambda it: _apply(it, window, as_is), kept)
     return out.select("doc_id", "n_words", "n_removed", "kept_text", *(F.col(f"c__{c}").alias(c) for c in carry))
 
 
