@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import _sample, decontaminate, language, licenses, media, packing, quality, simhash, substring_dedup, toxicity, warc
-from tarn.llm._store import documents
+from tarn.llm._store import documents, place
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,8 @@ def op5_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read_archive(warc.write_archive(documents(spark, sf_dir, "page_id", "url", "html", table="pages")))
+    archive = warc.write_archive(documents(spark, sf_dir, "page_id", "url", "html", table="pages"))
+    return warc.read_archive(warc.read_files(spark, warc.write_files(archive, place(spark, "warc"))))
 
 
 def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:

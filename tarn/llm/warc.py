@@ -3,10 +3,13 @@
 Writing: of records with equal payloads the one with the largest page_id becomes
 a response, the others revisits that name it. A response's block is an HTTP
 message with a chunked body; a block longer than ``segment`` bytes is cut into a
-first record and continuation records. Each record is one gzip member, so the
-members of an archive, put one after another, are a .warc.gz file.
+first record and continuation records. Each record is one gzip member, and the
+members put one after another are a .warc.gz file, of at most ``FILE_RECORDS``
+records. Spark's text writer makes the files, so they may lie wherever Spark can
+write; it ends each member with an empty one.
 
-Reading: segments are grouped by the identifier of their origin, ordered by
+Reading: an archive is inflated and cut into records piece by piece, whether it is
+one member, many, or plain. Segments are grouped by the identifier of their origin, ordered by
 segment number, and checked for gaps and against the total length before the
 chunked framing is decoded and the payload compared with its digest. Only
 segmented records are shuffled. Revisits meet their response in a join on its
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 from tarn.llm._store import cut
 
 SEGMENT, CHUNK = 16 << 10, 4 << 10
+FILE_RECORDS = 2048
 BROADCAST_ROWS = 100_000
 # Fixed values of the formats.
 EOL = b"\r\n"
@@ -112,7 +116,7 @@ def _write(batches: Iterator[pa.RecordBatch], segment: int):
 
 
 def write_archive(pages: DataFrame, least: int = 0, segment: int = SEGMENT) -> DataFrame:
-    """Column ``member``: the archive's gzip members, one for each record, kept in the shared folder.
+    """Column ``member``: the archive's gzip members, one for each record.
 
     Payloads of fewer than ``least`` bytes are never revisits. pages is read twice.
     """
@@ -124,36 +128,84 @@ def write_archive(pages: DataFrame, least: int = 0, segment: int = SEGMENT) -> D
         tops = F.broadcast(tops)
     joined = base.join(tops, F.col("sha") == F.col("s"), "left")
     again = F.col("s").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to"))
-    return cut(joined.select("page_id", "url", "html", again.alias("again"), "to").mapInArrow(lambda it: _write(it, segment), "member binary"))
+    return joined.select("page_id", "url", "html", again.alias("again"), "to").mapInArrow(lambda it: _write(it, segment), "member binary")
+
+
+def write_files(archive: DataFrame, path: str, records_a_file: int = FILE_RECORDS) -> str:
+    """Writes the members to .warc.gz files in a new folder, and returns its path."""
+    empty = gzip.compress(b"", mtime=0).decode("latin-1")
+    writer = archive.select(F.col("member").cast("string").alias("value")).write
+    writer.option("encoding", "ISO-8859-1").option("lineSep", empty).option("maxRecordsPerFile", records_a_file).text(path)
+    spark = archive.sparkSession
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.listStatus(own):
+        old = f.getPath()
+        if old.getName().startswith("part-"):
+            fs.rename(old, spark._jvm.org.apache.hadoop.fs.Path(own, old.getName().removesuffix(".txt") + ".warc.gz"))
+    return path
 
 
 _FIELDS = {"warc-type": "kind", "warc-record-id": "ident", "x-page-id": "page", "warc-payload-digest": "sha", "warc-refers-to": "refers", "warc-segment-origin-id": "origin", "warc-segment-number": "number", "warc-segment-total-length": "total"}
 _RECORD = "kind string, ident string, page string, sha string, refers string, origin string, number int, total long, block binary"
 
 
-def records(data: bytes) -> Iterator[dict]:
-    """The records of an archive or of a part that begins at one; gzip members or plain."""
-    while data[:2] == b"\x1f\x8b":
+def _inflated(data, size: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of gzip members, one after another, or of plain data, piece by piece."""
+    view, at = memoryview(data), 0
+    while bytes(view[at : at + 2]) == b"\x1f\x8b":
         d = zlib.decompressobj(31)
-        yield from records(d.decompress(data) + d.flush())
-        data = d.unused_data
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
+        while not d.eof:
+            part = view[at : at + size]
+            if not part:
+                raise ValueError("a gzip member is cut off")
+            out = d.decompress(part)
+            at += len(part) - len(d.unused_data)
+            if out:
+                yield out
+    while at < len(view):
+        yield bytes(view[at : at + size])
+        at += size
+
+
+def records(data) -> Iterator[dict]:
+    """The records of an archive or of a part that begins at one; gzip members or plain. ValueError if it is cut off."""
+    pieces, held, at = _inflated(data), bytearray(), 0
+
+    def more():
+        nonlocal at
+        part = next(pieces, None)
+        if part is None:
+            return False
+        del held[:at]
+        at = 0
+        held.extend(part)
+        return True
+
+    while at < len(held) or more():
+        seen = at
+        while (end := held.find(b"\r\n\r\n", seen)) < 0:
+            back = max(0, len(held) - 3 - at)
+            if not more():
+                raise ValueError("a record is cut off")
+            seen = back
         head = {}
-        for line in data[at:end].split(EOL)[1:]:
+        for line in bytes(held[at:end]).split(EOL)[1:]:
             k, _, v = line.partition(b":")
             head[k.strip().lower().decode()] = v.strip().decode()
-        size = int(head["content-length"])
-        yield {f: head.get(k) for k, f in _FIELDS.items()} | {"block": data[end + 4 : end + 4 + size]}
-        at = end + 4 + size + 4
+        size, at = int(head["content-length"]), end + 4
+        while len(held) < at + size + 4:
+            if not more():
+                raise ValueError("a record is cut off")
+        yield {f: head.get(k) for k, f in _FIELDS.items()} | {"block": bytes(held[at : at + size])}
+        at += size + 4
 
 
 def _parse(batches: Iterator[pa.RecordBatch]):
     names = [x.split()[0] for x in _RECORD.split(", ")]
     types = {"number": pa.int32(), "total": pa.int64(), "block": pa.binary()}
     for batch in batches:
-        rows = [r for m in batch.column("member") if m.is_valid for r in records(m.as_buffer().to_pybytes())]
+        rows = [r for m in batch.column("member") if m.is_valid for r in records(m.as_buffer())]
         for r in rows:
             r["number"], r["total"] = (int(r[k]) if r[k] else None for k in ("number", "total"))
         yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], types.get(n, pa.string())) for n in names], names)
@@ -210,5 +262,6 @@ def read_archive(archive: DataFrame, page_type: str = "long") -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Column ``member`` of .warc and .warc.gz files, a row for each file: files must fit a task's memory."""
-    return spark.read.format("binaryFile").load(path).select(F.col("content").alias("member"))
+    """Column ``member`` of the .warc and .warc.gz files of a folder, a row for each: no larger than Spark's 2 GB a value."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc{,.gz}").load(path)
+    return files.select(F.col("content").alias("member"))
