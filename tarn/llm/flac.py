@@ -15,9 +15,10 @@ import hashlib
 
 import numpy as np
 
-BLOCK, RATE, BITS = 1024, 8000, 8
+BLOCK, RATE, BITS = 2048, 8000, 8
 LPC_ORDER, LPC_PRECISION, LPC_SHIFT = 4, 12, 9
 MAX_RICE = 14
+BLOCK_CODE = BLOCK.bit_length() - 1  # of 256 and twice that and so on: 8 and up
 
 # Fixed values of the format.
 _BLOCK_SIZES = {1: 192, **{i: 576 << (i - 2) for i in range(2, 6)}, **{i: 256 << (i - 8) for i in range(8, 16)}}
@@ -85,7 +86,7 @@ def _frame_number(n: int) -> bytes:
 def _header(number: int, n: int) -> bytes:
     head = bytes([0xFF, 0xF8])
     if n == BLOCK:
-        head += bytes([0xA4, 0x02]) + _frame_number(number)
+        head += bytes([BLOCK_CODE << 4 | 4, 0x02]) + _frame_number(number)
     else:
         head += bytes([0x74, 0x02]) + _frame_number(number) + (n - 1).to_bytes(2, "big")
     return head + bytes([crc8(head)])
