@@ -1,8 +1,8 @@
 """License scan by ordered signature rules.
 
-Base phrases are words that stand consecutively. On top, some three hundred
-regular expressions (built from the tables of licenses and of phrasings below)
-look for license references. A rule runs only on texts that contain its keyword,
+Base phrases are words that stand consecutively. On top, the three hundred
+hand-written patterns of ``signatures`` look for identifiers, sentences of license
+texts, links, names and notices. A rule runs only on texts that contain its keyword,
 and no rule on texts without any keyword, which is decided for a whole slice of
 texts by substring search. Where detections overlap, rules go by priority, then
 length, then order: one that lies inside an accepted one is dropped, and so is
@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tarn.llm import _text as X
+from tarn.llm import signatures
 
 # The base phrases and their labels.
 BASE = {
@@ -36,98 +37,28 @@ BASE = {
     "mit license": "mit",
 }
 
-# Label, keyword, regular expression of the license's name.
-NAMES = (
-    ("agpl-3.0", "affero", r"(?:gnu )?affero general public licen[cs]e"),
-    ("agpl-3.0", "agpl", r"agpl(?:[- ]?v?3(?:\.0)?)?"),
-    ("lgpl", "lesser", r"(?:gnu )?(?:lesser|library) general public licen[cs]e"),
-    ("lgpl", "lgpl", r"lgpl(?:[- ]?v?[23](?:\.[01])?)?"),
-    ("gpl-2.0", "general public", r"(?:gnu )?general public licen[cs]e,? v(?:ersion )?2(?:\.0)?"),
-    ("gpl-3.0", "general public", r"(?:gnu )?general public licen[cs]e,? v(?:ersion )?3(?:\.0)?"),
-    ("gpl-2.0", "gpl", r"gpl[- ]?v?2(?:\.0)?"),
-    ("gpl-3.0", "gpl", r"gpl[- ]?v?3(?:\.0)?"),
-    ("gpl", "general public", r"(?:gnu )?general public licen[cs]e"),
-    ("apache-2.0", "apache", r"apache licen[cs]e,? v(?:ersion )?2(?:\.0)?"),
-    ("apache-1.1", "apache", r"apache (?:software )?licen[cs]e,? v(?:ersion )?1\.1"),
-    ("apache", "apache", r"apache (?:software )?licen[cs]e"),
-    ("mit", "mit", r"(?:the )?mit(?:/x11)? licen[cs]e"),
-    ("mit", "expat", r"expat licen[cs]e"),
-    ("x11", "x11", r"x11 licen[cs]e"),
-    ("bsd-2-clause", "bsd", r"(?:2|two)[- ]clause bsd(?: licen[cs]e)?|(?:simplified|freebsd) bsd licen[cs]e"),
-    ("bsd-3-clause", "bsd", r"(?:3|three)[- ]clause bsd(?: licen[cs]e)?|(?:new|modified|revised) bsd licen[cs]e"),
-    ("bsd-4-clause", "bsd", r"(?:4|four)[- ]clause bsd(?: licen[cs]e)?|original bsd licen[cs]e"),
-    ("bsd", "bsd", r"bsd licen[cs]e"),
-    ("isc", "isc", r"isc licen[cs]e"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e,? v(?:ersion )?1\.1"),
-    ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e,? v(?:ersion )?2(?:\.0)?"),
-    ("mpl", "mozilla", r"mozilla public licen[cs]e"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[cs]e,? v(?:ersion )?1(?:\.0)?"),
-    ("epl-2.0", "eclipse", r"eclipse public licen[cs]e,? v(?:ersion )?2(?:\.0)?"),
-    ("epl", "eclipse", r"eclipse public licen[cs]e"),
-    ("cddl", "cddl", r"cddl(?:[- ]1\.[01])?"),
-    ("cddl", "common development", r"common development and distribution licen[cs]e"),
-    ("eupl", "european union public", r"european union public licen[cs]e"),
-    ("artistic-2.0", "artistic", r"artistic licen[cs]e,? (?:v(?:ersion )?)?2(?:\.0)?"),
-    ("artistic", "artistic", r"artistic licen[cs]e"),
-    ("boost-1.0", "boost", r"boost software licen[cs]e"),
-    ("zlib", "zlib", r"zlib(?:/libpng)? licen[cs]e"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("unlicense", "unlicense", r"(?:the )?unlicense"),
-    ("python-2.0", "python", r"python software foundation licen[cs]e"),
-    ("openssl", "openssl", r"openssl licen[cs]e"),
-    ("postgresql", "postgresql", r"postgresql licen[cs]e"),
-    ("ofl-1.1", "open font", r"(?:sil )?open font licen[cs]e"),
-    ("gfdl", "free documentation", r"(?:gnu )?free documentation licen[cs]e"),
-    ("odbl-1.0", "open database", r"open database licen[cs]e"),
-    ("cc0-1.0", "cc0", r"cc0(?: 1\.0)?"),
-    ("cc-by-nc-nd", "cc", r"cc[- ]by[- ]nc[- ]nd(?: [1-4]\.[05])?"),
-    ("cc-by-nc-sa", "cc", r"cc[- ]by[- ]nc[- ]sa(?: [1-4]\.[05])?"),
-    ("cc-by-nc", "cc", r"cc[- ]by[- ]nc(?: [1-4]\.[05])?"),
-    ("cc-by-nd", "cc", r"cc[- ]by[- ]nd(?: [1-4]\.[05])?"),
-    ("cc-by-sa", "cc", r"cc[- ]by[- ]sa(?: [1-4]\.[05])?"),
-    ("cc-by", "cc", r"cc[- ]by(?: [1-4]\.[05])?"),
-    ("cc-by-nc", "creative commons", r"creative commons attribution[- ]noncommercial(?: [1-4]\.[05])?"),
-    ("cc-by-sa", "creative commons", r"creative commons attribution[- ]sharealike(?: [1-4]\.[05])?"),
-    ("cc-by", "creative commons", r"creative commons attribution(?: [1-4]\.[05])?"),
-)
-
-# Priority (less is stronger), label suffix, phrasing around a name.
-PHRASINGS = (
-    (1, "", r"spdx-license-identifier: ?{}"),
-    (2, "", r"(?:dual[- ])?licen[cs]ed under (?:the (?:terms of (?:the )?)?|a )?{}"),
-    (2, "", r"(?:re)?(?:released|distributed|published|available) under (?:the (?:terms of (?:the )?)?|a )?{}"),
-    (3, "", r"licen[cs]e[sd]? ?[:=] ?{}"),
-    (3, "", r"subject to (?:the )?(?:terms (?:and conditions )?of )?(?:the )?{}"),
-    (5, "", r"{}"),
-)
-
-# Rules of their own as (priority, label, keyword, regular expression).
-OTHER = (
-    (4, "all-rights-reserved", "rights reserved", r"all rights reserved"),
-    (4, "public-domain", "public domain", r"(?:dedicated to|placed in|released into) the public domain"),
-    (4, "proprietary", "proprietary", r"proprietary and confidential"),
-    (4, "copyright", "copyright", r"copyright (?:\(c\)|\xc2\xa9)? ?(?:19|20)\d\d"),
-    (4, "no-warranty", "warranty", r"without warranty of any kind"),
-    (4, "redistribution", "redistribution", r"redistribution and use in source and binary forms"),
-    (4, "permission", "permission", r"permission is hereby granted, free of charge"),
-)
+EDGES = rb"(?<![a-z0-9\x80-\xff])", rb"(?![a-z0-9\x80-\xff])"
+BLANKS = r"[\x09-\x0d\x20]"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A signature: less priority is stronger; the keyword must occur for the pattern to be tried."""
+    """A signature: less priority is stronger; ``word``, the longest of its keyword, must occur for the pattern to be tried."""
 
     priority: int
     label: str
-    keyword: bytes
+    word: bytes
     pattern: re.Pattern
 
 
 def rules() -> list[Rule]:
-    made = [(p, label + suffix, key, phrase.format(f"(?:{name})")) for p, suffix, phrase in PHRASINGS for label, key, name in NAMES]
-    edge = rb"(?<![a-z0-9\x80-\xff])", rb"(?![a-z0-9\x80-\xff])"
-    space = lambda s: s.replace("[- ]", "(?:-| )").replace(" ", r"[\x09-\x0d\x20]+").encode("latin-1")
-    return [Rule(p, label, key.encode(), re.compile(edge[0] + b"(?:" + space(s) + b")" + edge[1])) for p, label, key, s in sorted([*made, *OTHER], key=lambda r: r[0])]
+    """The signatures by priority, then in their order."""
+    out = []
+    for priority, label, keyword, text in signatures.lines():
+        text = text.replace("[- ]", "(?:-| )").replace(" ?", f"{BLANKS}*").replace(" ", f"{BLANKS}+")
+        pattern = re.compile(EDGES[0] + b"(?:" + text.encode("latin-1") + b")" + EDGES[1], re.S)
+        out.append(Rule(priority, label, max(keyword.split(), key=len).encode("latin-1"), pattern))
+    return sorted(out, key=lambda r: r.priority)
 
 
 class Scanner:
@@ -135,9 +66,8 @@ class Scanner:
 
     def __init__(self):
         self.rules = rules()
-        self.keywords = sorted({r.keyword.split()[0] for r in self.rules} | {p.split()[0].encode() for p in BASE if p != "mit license"} | {b"licen"})
         # every rule and phrase on "mit" has the word license too: the word alone is German
-        self.keywords = [k for k in self.keywords if k != b"mit"]
+        self.keywords = sorted(({r.word for r in self.rules} | {b"gnu", b"apache", b"cc", b"licen"}) - {b"mit"})
         self.base = [(p.encode().split(), label) for p, label in BASE.items()]
 
     def gated(self, raw: bytes, offs: np.ndarray) -> np.ndarray:
@@ -153,10 +83,10 @@ class Scanner:
 
     def detections(self, text: bytes) -> list[tuple[int, int, str, int]]:
         """(start byte, end byte, label, priority) after resolving overlaps, by start."""
-        has = {k: k in text or b" " in k and k.split()[0] in text for k in {r.keyword for r in self.rules}}
+        has = {w: w in text for w in {r.word for r in self.rules}}
         found = []
         for i, r in enumerate(self.rules):
-            if has[r.keyword]:
+            if has[r.word]:
                 found += [(r.priority, m.start() - m.end(), i, m.start(), m.end(), r.label) for m in r.pattern.finditer(text)]
         kept: list[tuple[int, int, str, int]] = []  # disjoint, sorted by start
         for priority, _, _, a, b, label in sorted(found):
