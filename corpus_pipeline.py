@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import decontaminate, near_copies, packing, quality, substring_dedup
+from tarn.llm import blocks, decontaminate, packing, quality, substring_dedup
 from tarn.llm._store import cut, documents
 from tarn.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble accepts."""
+    """Documents that the rule ensemble accepts, each row by its text; null and empty texts are scored like others. All of an unlabelled or empty table stay or go alike."""
     model = quality.train(docs, documents(spark, sf_dir, "doc_id", "quality", table="labels"))
     return quality.accepted(docs, model)
 
@@ -26,35 +26,52 @@ def row_key() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, row): whole rows beside their keys, so that no column of docs can clash with one of ours."""
+    return docs.select(row_key().alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the smallest doc_id."""
-    groups = cut(near_copies.near_duplicates(docs.select(row_key().alias("doc_id"), "text")))
-    first = groups.where(F.col("doc_id") == F.col("component_id"))
-    keys = first.select(F.col("doc_id").alias("kept_key")).distinct()
-    kept = docs.join(keys, row_key() == F.col("kept_key"), "left_semi")
-    repeats = first.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeats.isEmpty() else kept.withColumn("row_key", row_key()).dropDuplicates(["row_key"]).drop("row_key")
+    """Of each group of near copies (5-word shingles, Jaccard similarity of 0.8 or more) the document of the smallest key.
+
+    Wordless and null texts are one group. Of rows alike in id and text one stays, whichever; an empty table stays empty.
+    """
+    groups = blocks.near_copies(docs.select(row_key().alias("doc_id"), "text"))
+    first = cut(groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
+    kept = keyed(docs).join(first.select(F.col("doc_id").alias("first_key")), F.col("key") == F.col("first_key"), "left_semi")
+    if not first.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["key"])
+    return kept.select("row.*")
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of repeated windows. Untouched texts stay as they are; documents left without words stay too."""
-    carry = [c for c in docs.columns if c != "doc_id"]
-    out = substring_dedup.remove_repeats(docs, carry=tuple(carry))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    own = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
-    return out.select(*(own[c].alias(c) if c in own else F.col(c) for c in docs.columns))
+    """Documents without the words of repeated windows; ``n_chars``, if there is one, is that of the new text.
+
+    Untouched texts stay as they are, null ones too; documents left without words stay with an empty text.
+    Rows alike in id and text count as repeats of each other.
+    """
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("-"), *(F.col(f"`{c}`") for c in other)).alias("row"))
+    out = substring_dedup.remove_repeats(rows, carry=("row",), as_is=True)
+    own = {c: F.col("row").getField(c) for c in other} | {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(own["n_chars"])
+    return out.select(*(own[c].alias(c) for c in docs.columns))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no benchmark item."""
+    """Documents that overlap with no benchmark item.
+
+    A row goes by its own id and text: null, empty and short texts stay, and so do clean rows of an id that repeats.
+    """
     rows = docs.select(row_key().alias("doc_id"), "text")
     found = decontaminate.contaminated(rows, documents(spark, sf_dir, "item_id", "text", table="benchmark"))
-    keys = cut(found).withColumnRenamed("doc_id", "leaked_key")
-    return docs.join(keys, row_key() == F.col("leaked_key"), "left_anti")
+    leaked = cut(found).select(F.col("doc_id").alias("leaked_key"))
+    return keyed(docs).join(leaked, F.col("key") == F.col("leaked_key"), "left_anti").select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document: where it lies in which sequence."""
+    """A row for each piece of each row: where it lies in which sequence. Null and empty texts are the end token alone."""
     return packing.pack(docs, tokenizer_path())
 
 
