@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import _sample, decontaminate, language, licenses, media, packing, quality, simhash, substring_dedup, toxicity, warc
+from tarn.llm import _sample, decontaminate, language, licenses, media, oracles, packing, quality, simhash, substring_dedup, toxicity, warc
 from tarn.llm._store import documents, place
 
 
@@ -71,6 +71,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express."""
+    return op8_flac_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express."""
+    return op9_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_substring_dedup,
@@ -83,9 +93,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_flac_media,
         op9_license_scan,
         op10_best_fit_packing,
+        media_payloads,
+        license_base,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of what SQL can express; the others have tests against plain forms."""
+    return {
+        "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op4_simhash_near_dedup": oracles.SIMHASH,
+        "op5_spaced_seed_decontamination": oracles.DECONTAMINATION,
+        "op6_warc_segments": oracles.WARC,
+        "media_payloads": oracles.MEDIA_PAYLOADS,
+        "license_base": oracles.license_base(licenses.BASE),
+    }
