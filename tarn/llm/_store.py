@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch, which both sides of a Python worker hold several of.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES from now on, unless the session's are smaller: rows may be long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.sub(r"\D+$", "", spark.conf.get(key))) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder in spark.checkpoint.dir. Only a local master, as in tests, gets one made where none is set."""
     sc = spark.sparkContext
@@ -26,6 +38,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     Where the cluster doesn't say otherwise, Spark deletes the copy when no DataFrame refers to it any more.
     """
+    bounded(df.sparkSession)
     folder(df.sparkSession)
     conf = df.sparkSession.sparkContext._jsc.sc().conf()
     conf.setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
@@ -49,4 +62,5 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark, sf_dir: str, *columns: str, table: str = "documents") -> DataFrame:
     """The named columns of a table of the data directory."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)

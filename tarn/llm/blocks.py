@@ -8,18 +8,21 @@ its own shingles. Pigeonhole: k changed shingles touch at most k blocks, the oth
 are equal. Texts that share a block are joined on it, then verified by the Hamming
 distance of the 256-bit SimHash of the whole text, then by their exact sets.
 
-b grows with the number of distinct shingles as LEVELS says (beyond the last level the
-blocks stay as large and only the first of them are used, whole texts are verified all
-the same). A text is blocked at each level that a text of similar size can have. A pair
-of exactly 0.8 shares no block with a chance of about 1 in 10,000 at the worst size of
-each level; pairs above it have less. RADIUS is five standard deviations above the
+b grows with the number of distinct shingles, as LEVELS says and then with each
+doubling, so that blocks stay as large; of those beyond the first 32 are not needed
+(whole texts are verified all the same). Blocks of one or two shingles of a longer text
+are left out: boilerplate has such. A text is blocked at each level that a text of
+similar size can have. A pair of exactly 0.8 shares no block with a chance of about 2 in
+10,000 at the worst size of each level; pairs above it have less. RADIUS is five standard deviations above the
 mean distance of such a pair.
 
 Verification makes no pairs of all texts of a block. First each is compared with the
-smallest of its block; what that links is contracted. Only blocks that then still hold
-more than one component are joined with themselves, between different components, the
-Hamming distance being part of the join's condition. Only texts in verified pairs are
-read again for their sets.
+centre of its block, the text whose blocks most others hold: that is what near copies
+were made from, if it is there. What that links is contracted. Blocks that then still
+hold several components (one of those with the same texts) are compared as a whole, in
+numpy: texts of different components that Hamming distance lets pass, by a product of
+matrices of their sets. Blocks of more than ``CROWD`` texts are cut into segments, each
+two of which meet in a task. Only links leave a task, as spanning stars.
 
 Exact copies count once from the start. Components come from star contraction; nothing
 of the corpus reaches the driver.
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import _text
@@ -46,9 +49,11 @@ from tarn.llm._store import cut
 
 SHINGLE, SHARE = 5, 0.8
 #: (most distinct shingles, blocks): e**(-2 (1 - s) / (1 + s) n / b) is a block's chance to be equal, and b of those must leave 1e-4.
-LEVELS = ((59, 16), (200, 32), (580, 64), (1530, 128), (3860, 256), (9290, 512), (21700, 1024))
+LEVELS = ((59, 16), (190, 32))
+LEAST = 3  # shingles of a block, but for the first level
 WORDS, RADIUS = 4, 80  # 64-bit words of the fingerprint; 0.19 * 256 + 5 * sqrt(256 * 0.19 * 0.81): small sets differ in up to 19 %
 SLICE = 1 << 19
+CROWD, WIDTH = 1024, 8192  # texts that meet in a task at most twice as many; columns of their matrix that are multiplied at a time
 U64 = np.uint64
 
 
@@ -108,6 +113,9 @@ def keys(x: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.nd
         take, run = take[order], run[order]
         at = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))) if len(run) else run
         got = majorities(x[take], at)
+        if level:
+            full = np.diff(np.append(at, len(take))) >= LEAST
+            at, got = at[full], got[full]
         out_k.append(_text.mix(_text.mix(got, level + 1) + block[take[at]], 77))
         out_d.append(doc[take[at]])
     wordless = np.flatnonzero(n == 0)
@@ -163,54 +171,127 @@ def _verified(batches: Iterator[pa.RecordBatch]):
         yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
 
-def _distance() -> Column:
-    return sum((F.bit_count(F.col(f"f{w}").bitwiseXOR(F.col(f"g{w}"))) for w in range(WORDS)), F.lit(0))
+def _similar(own: list[np.ndarray]) -> np.ndarray:
+    """Which two of the sets have a similarity of SHARE or more: a square matrix."""
+    n, size = len(own), np.array([len(x) for x in own])
+    row = np.repeat(np.arange(n), size)
+    _, col, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    often = count > 1
+    place = np.cumsum(often) - 1
+    row, col = row[often[col]], place[col[often[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    both = np.zeros((n, n), np.float32)
+    for a in range(0, int(often.sum()), WIDTH):
+        i, j = np.searchsorted(col, (a, a + WIDTH))
+        m = np.zeros((n, int(col[j - 1]) - a + 1), np.float32)
+        m[row[i:j], col[i:j] - a] = 1
+        both += m @ m.T
+    return both >= SHARE * (size[:, None] + size[None, :] - both)
+
+
+def _stars(h: list[bytes], root: list[bytes], marks: np.ndarray, own: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Edges that connect those texts of a block whose components links connect."""
+    _, part = np.unique(np.array(root, object), return_inverse=True)
+    away = np.zeros((len(h), len(h)), np.int16)
+    for w in range(WORDS):
+        away += np.bitwise_count(marks[:, None, w] ^ marks[None, :, w])
+    near = (away <= RADIUS) & (part[:, None] != part[None, :])
+    some = np.flatnonzero(near.any(1))
+    if not len(some):
+        return [], []
+    near = _similar([np.frombuffer(own[i], U64) for i in some]) & near[np.ix_(some, some)]
+    np.fill_diagonal(near, True)
+    label = np.arange(len(some))
+    while True:
+        new = np.where(near, label, len(some)).min(1)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = np.flatnonzero(label != np.arange(len(some)))
+    return [h[i] for i in some[out]], [h[i] for i in some[label[out]]]
+
+
+def _met(batches: Iterator[pa.RecordBatch]):
+    """Of rows sorted by block and segments: the links within each."""
+    key, h, root, own, marks = None, [], [], [], []
+    for batch in batches:
+        us, vs = [], []
+        f = np.stack([batch.column(f"f{w}").to_numpy() for w in range(WORDS)], 1).view(U64)
+        for i, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("k", "a", "b", "h", "root", "own")), strict=True)):
+            if row[:3] != key:
+                if len(h) > 1:
+                    u, v = _stars(h, root, np.stack(marks), own)
+                    us, vs = us + u, vs + v
+                key, h, root, own, marks = row[:3], [], [], [], []
+            h.append(row[3])
+            root.append(row[4])
+            own.append(row[5])
+            marks.append(f[i])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+    if len(h) > 1:
+        u, v = _stars(h, root, np.stack(marks), own)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+
+def _own(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h, own): the sets of the texts whose h is in the column w of ``wanted``, distinct."""
+    whole = texts.join(wanted, F.col("h") == F.col("w"), "left_semi").dropDuplicates(["h"])
+    return whole.mapInArrow(_sets, "h binary, own binary")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of distinct pairs (u, v) those whose sets are similar enough, kept in the shared folder."""
-    pairs = cut(pairs.distinct())
-    wanted = pairs.select(F.col("u").alias("w")).union(pairs.select("v")).distinct()
-    whole = texts.join(wanted, F.col("h") == F.col("w"), "left_semi").dropDuplicates(["h"])
-    own = cut(whole.mapInArrow(_sets, "h binary, own binary"))
+    pairs = cut(pairs)
+    own = cut(_own(pairs.select(F.col("u").alias("w")).union(pairs.select("v")).distinct(), texts))
     met = pairs.join(own.select(F.col("h").alias("u"), F.col("own").alias("x")), "u").join(own.select(F.col("h").alias("v"), F.col("own").alias("y")), "v")
     return cut(met.select("u", "v", "x", "y").mapInArrow(_verified, "u binary, v binary"))
 
 
-def _partners(of: DataFrame) -> DataFrame:
-    """The columns under the names of a pair's second side."""
-    return of.select(*(F.col(c).alias({"h": "v", "root": "to"}.get(c, c.replace("f", "g"))) for c in of.columns))
+def _crowds(rest: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
+    """Links between different roots within the blocks of rest (k, n, h, root, f0...)."""
+    n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    f = [f"f{w}" for w in range(WORDS)]
+    own = cut(_own(rest.select(F.col("h").alias("w")).distinct(), texts))
+    cuts = rest.withColumn("s", F.ceil(F.col("n") / crowd).cast("int")).withColumn("g", F.expr("cast(pmod(xxhash64(h, 5), s) as int)"))
+    cuts = cuts.select("k", "h", "root", *f, "g", F.explode(F.expr("if(s = 1, array(0), filter(sequence(0, s - 1), o -> o <> g))")).alias("o"))
+    rows = cuts.select("k", F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), "h", "root", *f)
+    rows = rows.join(own.withColumnRenamed("h", "w"), F.col("h") == F.col("w")).select("k", "a", "b", "h", "root", *f, "own")
+    return cut(rows.repartition(n, "k", "a", "b").sortWithinPartitions("k", "a", "b").mapInArrow(_met, "u binary, v binary"))
 
 
-def edges(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def edges(nodes: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     """Edges (u, v) that connect just the texts (column h) which links connect; nodes has h, keys and f0...; texts h and text."""
     f = [f"f{w}" for w in range(WORDS)]
     every = nodes.select("h", F.explode("keys").alias("k"))
-    sizes = every.groupBy("k").agg(F.count("*").alias("n"), F.min("h").alias("v")).where("n > 1").withColumnRenamed("k", "j")
-    shared = cut(every.join(sizes, F.col("k") == F.col("j")).select("k", "h", "v", "n"))
+    sizes = every.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("k", "j")
+    shared = cut(every.join(sizes, F.col("k") == F.col("j")).select("k", "h", "n"))
+    weight = shared.groupBy("h").agg(F.sum("n").alias("w")).withColumnRenamed("h", "o")
+    centre = shared.join(weight, F.col("h") == F.col("o")).groupBy("k").agg(F.max(F.struct("w", "h")).alias("c")).select(F.col("k").alias("j"), F.col("c.h").alias("v"))
     marks = nodes.select("h", *f)
-    first = shared.where("h <> v").select(F.col("h").alias("u"), "v").distinct()
-    first = first.join(marks.withColumnRenamed("h", "u"), "u").join(_partners(marks), "v")
-    found = _linked(first.where(_distance() <= RADIUS).select("u", "v"), texts)
+    first = shared.join(centre, F.col("k") == F.col("j")).where("h <> v").select(F.col("h").alias("u"), "v").distinct()
+    first = first.join(marks.withColumnRenamed("h", "u"), "u")
+    first = first.join(marks.select(F.col("h").alias("v"), *(F.col(c).alias(f"v_{c}") for c in f)), "v")
+    away = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"v_{c}"))) for c in f), F.lit(0))
+    found = _linked(first.where(away <= RADIUS).select("u", "v"), texts)
     roots = components(found)
     named = marks.join(roots, F.col("h") == F.col("node"), "left").select("h", *f, F.coalesce("root", "h").alias("root"))
-    held = shared.where("n > 2").select("k", "h").join(named, "h")
-    split = held.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("k")
-    rest = cut(held.join(split, "k", "left_semi"))
-    if rest.isEmpty():
-        return found
-    met = rest.join(_partners(rest), "k").where((F.col("root") < F.col("to")) & (_distance() <= RADIUS))
-    return found.union(_linked(met.select(F.col("h").alias("u"), "v"), texts))
+    held = shared.where("n > 2").join(named, "h")
+    split = held.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "h")).alias(f"z{i}") for i in (0, 1)))
+    split = split.where("x <> y").groupBy("n", "z0", "z1").agg(F.min("k").alias("j"))
+    rest = cut(held.drop("n").join(split, F.col("k") == F.col("j")).select("k", "n", "h", "root", *f))
+    return found if rest.isEmpty() else found.union(_crowds(rest, texts, crowd))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id and component_id: the smallest doc_id that links reach, its own included."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("h"), "text")
     f = [f"f{w}" for w in range(WORDS)]
     marked = cut(texts.mapInArrow(_marked, f"doc_id {kind}, h binary, keys array<long>, {', '.join(f'{c} long' for c in f)}"))
     nodes = cut(marked.groupBy("h").agg(F.min("doc_id").alias("first"), *(F.first(c).alias(c) for c in ("keys", *f))))
-    roots = components(edges(nodes, texts.select("h", "text")))
+    roots = components(edges(nodes, texts.select("h", "text"), crowd))
     rooted = nodes.join(roots, F.col("h") == F.col("node"), "left").select("h", "first", F.coalesce("root", "h").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
     named = rooted.join(least, F.col("root") == F.col("r")).select(F.col("h").alias("t"), "component_id")

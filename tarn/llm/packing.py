@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tarn.llm._store import cut
 
 CAPACITY, END = 4096, 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 50_000
 BATCH_ROWS = 2048
 
 

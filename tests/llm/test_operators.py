@@ -210,8 +210,9 @@ def near_texts():
 def test_near_copies(spark, docs):
     for rows in ([(i, t) for i, t in enumerate(near_texts())], [(r.doc_id, r.text) for r in docs.collect()]):
         df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("keys", F.lit(1)).withColumn("h", F.lit(None))
-        got = {r.doc_id: r.component_id for r in blocks.near_copies(df.repartition(5)).collect()}
-        assert got == blocks.brute_force(rows)
+        force = blocks.brute_force(rows)
+        for crowd in (blocks.CROWD, 3):
+            assert {r.doc_id: r.component_id for r in blocks.near_copies(df.repartition(5), crowd).collect()} == force
 
 
 def test_near_copies_of_odd_tables(repeated, empty):
@@ -234,10 +235,24 @@ def test_blocks_of_two_sizes_have_a_level_in_common():
 
 
 def test_block_chance():
-    """Of each level's largest size: some block of a pair of exactly SHARE is equal but once in 10,000."""
-    for most, b in blocks.LEVELS:
+    """Of each level's largest size: some block of a pair of exactly SHARE is equal but twice in 10,000."""
+    for level, (most, b) in enumerate(blocks.LEVELS):
+        full = most / b * (1 + blocks.SHARE) ** -1 * 2 * blocks.SHARE  # shared shingles of a block
         same = np.exp(-2 * (1 - blocks.SHARE) / (1 + blocks.SHARE) * most / b)
-        assert (1 - same) ** b < 1.2e-4
+        few = 0 if not level else np.exp(-full) * (1 + full + full**2 / 2)
+        assert (1 - same * (1 - few)) ** b < 2e-4
+
+
+def test_pairs_at_the_limit_share_a_block():
+    """Of 400 pairs of exactly SHARE and all sizes, drawn anew, none is without a key in common."""
+    rng = np.random.default_rng(3)
+    for n in rng.integers(9, 5000, 400):
+        both = int(round(n * 2 * blocks.SHARE / (1 + blocks.SHARE)))
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n + 10, dtype=np.uint64))
+        rng.shuffle(pool)
+        sets = [np.sort(np.concatenate((pool[:both], pool[a : a + n - both]))) for a in (both, n)]
+        found = [set(blocks.keys(s, np.zeros(len(s), np.int64), 1)[0].tolist()) for s in sets]
+        assert found[0] & found[1], n
 
 
 def test_components_of_a_chain_and_a_star(spark):
