@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import itertools
 import os
+import re
 import sys
 import time
 from collections.abc import Iterable
@@ -13,6 +14,8 @@ from pyspark.sql import SparkSession
 
 from tarn.engine import Engine
 from tarn.errors import QueryError
+from tarn.functions.registry import AGGREGATES, SCALARS
+from tarn.plans.parser import TABLE_TYPES, WORDS
 
 SIZED_ROWS = 1000
 
@@ -38,6 +41,30 @@ def batch(engine: Engine, text: str) -> str:
     return "[" + ",".join(r.value for r in engine.json(text).collect()) + "]"
 
 
+# The terminal's colours for the kinds of words.
+COLOURS = {"word": "\x1b[1;34m", "name": "\x1b[35m", "text": "\x1b[32m", "number": "\x1b[36m", "note": "\x1b[2m"}
+_PARTS = re.compile(r"(?P<note>--[^\n]*)|(?P<text>'[^']*'?|\"[^\"]*\"?)|(?P<quoted>`[^`]*`?)|(?P<number>\b\d+(?:\.\d*)?)|(?P<word>[A-Za-z_]\w*)")
+
+
+def highlighted(text: str) -> str:
+    """A statement with reserved words, functions, texts, numbers and comments in colours of their own."""
+
+    def one(m: re.Match) -> str:
+        kind, part = m.lastgroup, m[0]
+        if kind == "word" and part.lower() not in WORDS and part.lower() not in TABLE_TYPES:
+            kind = "name" if part.lower() in SCALARS or part.lower() in AGGREGATES else None
+        return f"{COLOURS[kind]}{part}\x1b[0m" if kind in COLOURS else part
+
+    return _PARTS.sub(one, text)
+
+
+def _recolour(text: str) -> None:
+    """Prints the statement just typed again, over itself, in colours."""
+    lines = text.rstrip("\n").split("\n")
+    shown = highlighted("\n".join(f"{'     > ' if i else 'tarn > '}{x}" for i, x in enumerate(lines)))
+    print(f"\x1b[{len(lines)}A\x1b[J{shown}")
+
+
 def run(engine: Engine, text: str) -> None:
     began, sc = time.time(), engine.spark.sparkContext
     try:
@@ -73,6 +100,8 @@ def repl(engine: Engine) -> None:
             print()
             continue
         if ";" in held:
+            if sys.stdout.isatty() and sys.stdin.isatty():
+                _recolour(held)
             run(engine, held)
             held = ""
 

@@ -17,7 +17,7 @@ SETTINGS = {"spark.sql.variant.allowDuplicateKeys": "true", "spark.sql.mapKeyDed
 
 
 class Engine:
-    """promote: look for fields of one type in JSON, at the price of a pass over it. single_file: INSERT makes one file."""
+    """promote: look for fields of one type in JSON, at the price of a pass over it. single_file: INSERT makes one file of up to a GB."""
 
     def __init__(self, spark: SparkSession, promote: bool = True, single_file: bool = True):
         self.spark, self.promote, self.single_file = spark, promote, single_file

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
+from pyspark.errors import PythonException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -84,13 +85,22 @@ def _plain(value: object) -> object:
     return value if value is None or isinstance(value, (bool, int, float, str)) else str(value)
 
 
+def _texts(got: json_source.Records) -> list[str]:
+    return [r.t for r in got.df.select("t").limit(RECORDS).collect()]
+
+
 def records(spark: SparkSession, table: Table) -> list[dict]:
     """The first records, keys in lower case."""
     path = paths.Path.of(table.path)
     if table.kind == "json":
         if path.scheme == "dummy":
             return [{"foo": 4, "bar": i % 10} for i in range(RECORDS)]
-        texts = [r.t for r in json_source.read(spark, path, preview=True).df.select("t").limit(RECORDS).collect()]
+        try:
+            texts = _texts(json_source.read(spark, path, preview=RECORDS))
+        except PythonException:  # an object over several lines where the preview didn't look
+            if path.scheme != "files":
+                raise
+            texts = _texts(json_source.whole(spark, path))
         return [{k.lower(): v for k, v in json.loads(t).items()} for t in texts]
     if table.kind == "csv":
         if path.scheme not in ("files", "web"):
@@ -98,7 +108,7 @@ def records(spark: SparkSession, table: Table) -> list[dict]:
         return [dict(r.e) for r in csv.read(spark, path).select(F.map_entries("m").alias("e")).limit(RECORDS).collect()]
     if table.kind == "parquet" and path.scheme == "files" and not paths.exists(spark, path):
         return []
-    df = dir.read(spark, path) if table.kind == "dir" else spark.read.parquet(path.url)
+    df = dir.read(spark, path) if table.kind == "dir" else spark.read.parquet(*(t.getPath().toString() for t in paths.tops(spark, path)))
     rows = [_plain(r) for r in df.limit(RECORDS).collect()]
     if table.kind == "dir":  # sizes are of the wide kind
         return [{k: float(v) if k == "size" and v is not None else v for k, v in r.items()} for r in rows]

@@ -85,7 +85,7 @@ class Lowering:
 
     # sources
 
-    def table(self, table: Table, alias: str | None, limited: bool = False) -> tuple[DataFrame, Scope]:
+    def table(self, table: Table, alias: str | None, limited: int = 0) -> tuple[DataFrame, Scope]:
         path = paths.Path.of(table.path)
         if table.kind == "json" and path.scheme == "dummy":
             if not limited:
@@ -104,7 +104,8 @@ class Lowering:
             return self._typed(dir.read(self.spark, path), alias)
         if path.scheme == "files" and not paths.exists(self.spark, path):
             return self._typed(self.spark.createDataFrame([], "nothing string"), alias)
-        return self._typed(self.spark.read.parquet(path.url), alias)
+        above = [t.getPath().toString() for t in paths.tops(self.spark, path)] if path.scheme == "files" else [path.url]
+        return self._typed(self.spark.read.parquet(*above), alias)
 
     def _typed(self, df: DataFrame, alias: str | None) -> tuple[DataFrame, Scope]:
         names = {f.name: self._new() for f in df.schema.fields}
@@ -119,7 +120,7 @@ class Lowering:
 
         return out, Raw(alias, value)
 
-    def _json(self, path: paths.Path, alias: str | None, preview: bool) -> tuple[DataFrame, Scope]:
+    def _json(self, path: paths.Path, alias: str | None, preview: int) -> tuple[DataFrame, Scope]:
         got = json.read(self.spark, path, self.promote, preview)
         t, v = self._new(), self._new()
         df = got.df.select(F.col("t").alias(t), F.col("v").alias(v))
@@ -157,7 +158,7 @@ class Lowering:
         made = V.lifted(Val(keyed, "map", T.MapType(T.StringType(), T.VariantType()))).col
         return Val(F.when(low, root.col).otherwise(made), "variant", T.VariantType(), None, (F.when(low, root.path[0]), "$"))
 
-    def source(self, s: Source, limited: bool = False) -> tuple[DataFrame, Scope]:
+    def source(self, s: Source, limited: int = 0) -> tuple[DataFrame, Scope]:
         if isinstance(s, Scan):
             return self.table(s.table, s.alias, limited)
         if isinstance(s, Inline):
@@ -174,10 +175,12 @@ class Lowering:
 
     # selects
 
-    def select(self, s: Select, limited: bool = False) -> Result:
+    def select(self, s: Select, limited: int = 0) -> Result:
+        """limited: of how many rows, if not of all, whoever asks makes use."""
         outputs = [(o.name, unwrapped(o.expr)) for o in s.outputs]
         grouped = bool(s.group_by) or any(self._has_aggregate(e) for _, e in outputs)
-        df, scope = self.source(s.source, limited=not grouped and not s.order_by and s.where is None and (limited or s.limit is not None))
+        wanted = min([n for n in (limited or None, None if s.limit is None else max(1, s.limit)) if n is not None], default=0)
+        df, scope = self.source(s.source, 0 if grouped or s.order_by or s.where is not None else wanted)
         if s.where is not None:
             df = df.where(self.truth(unwrapped(s.where), scope))
         if grouped:

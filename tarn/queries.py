@@ -6,14 +6,13 @@ Queries over JSON, CSV and listings write their input to the shared folder first
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.engine import Engine
+from tarn.sources import paths
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,7 +45,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     ),
     "number_fn": ("select p_partkey as k, number(p_name) as a, number(p_size) as b, number('12.5') as c from parquet '{d}/part.parquet';", "SELECT p_partkey AS k, try_cast(p_name AS DOUBLE) AS a, p_size::DOUBLE AS b, 12.5::DOUBLE AS c FROM part"),
     "number_vs_text": ("select p_partkey as k, p_brand > 5 as a, p_size = '10' as b, p_size = 10 as c from parquet '{d}/part.parquet';", "SELECT p_partkey AS k, p_brand > '5.0' AS a, p_size::VARCHAR = '10' AS b, p_size = 10 AS c FROM part"),
-    "is_null": ("select doc_id from parquet '{d}/documents.parquet' where nothing is null and doc_id < 100;", "SELECT doc_id FROM documents WHERE doc_id < 100"),
+    "is_null": ("select doc_id from parquet '{d}/documents.parquet' where nothing is null;", "SELECT doc_id FROM documents"),
     "is_not_null": ("select count() as n from parquet '{d}/labels.parquet' where quality is not null and nothing is not null or quality = 1;", "SELECT count(*) AS n FROM labels WHERE quality = 1"),
     "coalesce_fn": ("select event_id, coalesce(nothing, event_type, 'none') as t from parquet '{d}/events.parquet';", "SELECT event_id, coalesce(event_type, 'none') AS t FROM events"),
     "count_all": ("select count(*) as a, count() as b from parquet '{d}/lineitem.parquet';", "SELECT count(*) AS a, count(*) AS b FROM lineitem"),
@@ -61,6 +60,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "max_row_latest": ("select user_id as u, max_row(event_id, event_type) as t, max_row(event_id, __all__).value as v from parquet '{d}/events.parquet' group by user_id;", "SELECT user_id AS u, arg_max(event_type, event_id) AS t, arg_max(value, event_id) AS v FROM events GROUP BY 1"),
     "agg_expr": ("select l_linenumber as l, sum(l_quantity * 2) / count() as a, max(l_quantity) - min(l_quantity) as r from parquet '{d}/lineitem.parquet' group by l_linenumber;", "SELECT l_linenumber AS l, sum(l_quantity * 2) / count(*) AS a, max(l_quantity) - min(l_quantity) AS r FROM lineitem GROUP BY 1"),
     "bare_column_is_key": ("select n_regionkey as k, n_regionkey * 2 as t, 'c' as c, count() as n from parquet '{d}/nation.parquet' group by n_regionkey;", "SELECT n_regionkey AS k, n_regionkey * 2.0::DOUBLE AS t, 'c' AS c, count(*) AS n FROM nation GROUP BY n_regionkey"),
+    "bare_column": ("select c_custkey as k, c_name as n, c_nationkey + 1 as m, count() as c from parquet '{d}/customer.parquet' group by c_custkey;", "SELECT c_custkey AS k, c_name AS n, c_nationkey + 1.0::DOUBLE AS m, 1::BIGINT AS c FROM customer"),
     "group_expr": ("select p_size > 25 as big, count() as n from parquet '{d}/part.parquet' group by p_size > 25;", "SELECT p_size > 25 AS big, count(*) AS n FROM part GROUP BY 1"),
     "group_not_selected": ("select count() as n, min(o_orderkey) as k from parquet '{d}/orders.parquet' group by o_custkey, o_orderstatus;", "SELECT count(*) AS n, min(o_orderkey) AS k FROM orders GROUP BY o_custkey, o_orderstatus"),
     "group_null_key": ("select nothing as k, count() as n from parquet '{d}/orders.parquet' group by nothing;", "SELECT NULL::VARCHAR AS k, count(*) AS n FROM orders"),
@@ -108,25 +108,24 @@ FILE_STATEMENTS: dict[str, tuple[str, str]] = {
     "json_mixed_field": ("select event_id, number(mixed) as n, mixed = '5' as five, mixed is null as none from json '{f}/lines';", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN (event_id % 10)::DOUBLE WHEN 1 THEN (event_id % 10)::DOUBLE END AS n, CASE WHEN event_id % 3 < 2 THEN event_id % 10 = 5 END AS five, event_id % 3 = 2 AS none FROM events"),
     "json_join": ("select e.event_id as e, c.c_name as c from json '{f}/lines' e join parquet '{d}/customer.parquet' c on e.user_id = c.c_custkey;", "SELECT event_id AS e, c_name AS c FROM events JOIN customer ON user_id = c_custkey"),
     "csv_scan": ("select number(event_id) as e, event_type as t, note from csv '{f}/csv.csv' where number(user_id) < 100;", "SELECT event_id::DOUBLE AS e, event_type AS t, CASE WHEN event_id % 2 = 0 THEN event_type || ', \"q\"' END AS note FROM events WHERE user_id < 100"),
+    "csv_headers": ("select event_type as t, count() as n, sum(event_id) as s from csv '{f}/swapped' group by event_type;", "SELECT event_type AS t, count(*) AS n, sum(event_id)::DOUBLE AS s FROM events GROUP BY 1"),
+    "csv_gzip": ("select count() as n, sum(event_id) as s from csv '{f}/csvgz';", "SELECT count(*) AS n, sum(event_id)::DOUBLE AS s FROM events"),
+    "json_nul": ("select count() as n, sum(event_id) as s, max(event_type) as t from json '{f}/nul';", "SELECT count(*) AS n, sum(event_id)::DOUBLE AS s, max(event_type) AS t FROM events"),
+    "json_layouts_beside": ("select count() as n, sum(event_id) as s, sum(props.k) as k from json '{f}/beside';", f"SELECT 2 * count(*) AS n, 2 * sum(event_id)::DOUBLE AS s, 2 * sum({_K})::DOUBLE AS k FROM events"),
+    "insert_folder": ("select event_id, event_type as t from csv '{f}/many';", "SELECT event_id::DOUBLE::VARCHAR AS event_id, event_type AS t FROM events"),
     "insert_json": ("select event_id, event_type from json '{f}/json.json';", "SELECT event_id, event_type FROM events"),
     "insert_csv": ("select event_id from csv '{f}/csv.csv';", "SELECT event_id::DOUBLE::VARCHAR AS event_id FROM events"),
     "dir_list": ("select extension as x, count() as n from dir '{f}/listed' where size > 0 and parent = '{f}/listed' group by extension;", "SELECT 'json' AS x, 1::BIGINT AS n"),
 }
 
 
-def folder(spark: SparkSession) -> str:
-    """A new name in the folder that all of a cluster's machines share."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{top.rstrip('/')}/tarn-{uuid.uuid4().hex}"
-
-
 def _statement(text: str) -> Query:
     return lambda spark, d: Engine(spark).sql(text.replace("{d}", d))
 
 
 def _events(spark: SparkSession, d: str, what: str) -> str:
     """Writes the events table in the layout that a statement reads; the folder they are in."""
-    f = folder(spark)
+    f = paths.shared(spark, "files")
     events = spark.read.parquet(f"{d}/events.parquet")
     mixed = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), F.col("event_id") % 10, F.lit('"'))).when(F.col("event_id") % 3 == 1, (F.col("event_id") % 10).cast("string")).otherwise("null")
     head = F.to_json(F.struct("event_id", "user_id", "event_type", "value", F.array("event_type", F.col("user_id").cast("string")).alias("tags")))
@@ -147,32 +146,85 @@ def _events(spark: SparkSession, d: str, what: str) -> str:
         engine.sql(f"insert into csv '{f}/csv.csv' select event_id, user_id, event_type, note from parquet '{f}/csv_rows';")
     if "json.json" in what:
         engine.sql(f"insert into json '{f}/json.json' select event_id, event_type from parquet '{d}/events.parquet';")
+    if "nul" in what:
+        rows.select(F.regexp_replace("value", ", ", ",\0 ").alias("value")).write.text(f"{f}/nul")
+    if "beside" in what:
+        rows.write.text(f"{f}/beside/lines")
+        rows.write.option("lineSep", " ").text(f"{f}/beside/side")
+    if "swapped" in what:
+        for i, (head, cells) in enumerate((("event_id,event_type", ("event_id", "event_type")), ("Event_Type,event_id", ("event_type", "event_id")))):
+            own = events.where(F.col("event_id") % 2 == i).select(F.concat_ws(",", *cells).alias("value"))
+            own.mapInArrow(_under(head), "value string").write.text(f"{f}/swapped/{i}")
+    if "csvgz" in what:
+        events.select(F.col("event_id").cast("string").alias("value")).mapInArrow(_under("event_id"), "value string").write.option("compression", "gzip").text(f"{f}/csvgz")
+    if "many" in what:
+        Engine(spark, single_file=False).sql(f"insert into csv '{f}/many' select event_id, event_type from parquet '{d}/events.parquet';")
     if "listed" in what:
         engine.sql(f"insert into json '{f}/listed/one.json' select r_name from parquet '{d}/region.parquet';")
     return f
 
 
+def _under(header: str):
+    """Puts a header above the lines of each part."""
+
+    def parts(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+
+    return parts
+
+
 def _over_files(text: str) -> Query:
     return lambda spark, d: Engine(spark).sql(text.replace("{f}", _events(spark, d, text)).replace("{d}", d))
 
 
-def _describe(as_table: bool) -> Query:
-    return lambda spark, d: Engine(spark).sql(f"describe json '{_events(spark, d, 'lines')}/lines'{' as table' if as_table else ''};")
+def _rows(names: str, rows) -> str:
+    """SQL of the rows as they are."""
+    quoted = ", ".join("(" + ", ".join("'" + c.replace("'", "''") + "'" for c in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {quoted}) t({names})"
+
+
+def _describe(kind: str, where: str, tail: str = "") -> Query:
+    return lambda spark, d: Engine(spark).sql(f"describe {kind} '{_events(spark, d, where)}/{where}'{tail};")
+
+
+def _describe_table(spark: SparkSession, d: str) -> DataFrame:
+    """The path, another each time, is left out."""
+    return _describe("json", "lines", " as table")(spark, d).select(F.regexp_replace("table", "'.*'", "'events'").alias("table"))
+
+
+def _explain(spark: SparkSession, d: str) -> DataFrame:
+    """What the plan of the flagship query must say: a scan with its filter, partial sums, a sort."""
+    plan = Engine(spark).sql("explain " + FLAGSHIP.replace("{d}", d))
+    says = {"scan": "%FileScan parquet%", "pushed": "%PushedFilters:%GreaterThanOrEqual(l_discount,0.05)%", "partial": "%partial_sum(%", "sorted": "%Sort [%"}
+    return plan.agg(*(F.expr(f"bool_or(plan like '{v}')").alias(k) for k, v in says.items()))
+
+
+_EVENT_KINDS = (("event_id", "Int"), ("event_type", "String"), ("mixed", "Int OR String"), ("props", "Struct<{k=Int}>"), ("tags", "Array<String>"), ("user_id", "Int"), ("value", "Float"))
+_EVENT_TABLE = ("CREATE TABLE 'events' (", "  event_id INTEGER,", "  event_type STRING,", "  mixed UNION<", "    INTEGER,", "    STRING", "  >,", "  props STRUCT<", "    k: INTEGER", "  >,", "  tags ARRAY<STRING>,", "  user_id INTEGER,", "  value NULL", ")")
+_FILE_KINDS = (("path", "String"), ("name", "String"), ("parent", "String"), ("extension", "String"), ("last_modified", "String"), ("size", "Float"))
+_CSV_KINDS = tuple((c, "String") for c in ("event_id", "user_id", "event_type", "note"))
+
+# name: (query, the same in DuckDB's SQL)
+OTHER: dict[str, tuple[Query, str]] = {
+    "describe_json": (_describe("json", "lines"), _rows("column_name, column_type", _EVENT_KINDS)),
+    "describe_csv": (_describe("csv", "csv.csv"), _rows("column_name, column_type", _CSV_KINDS)),
+    "describe_dir": (_describe("dir", "listed"), _rows("column_name, column_type", _FILE_KINDS)),
+    "describe_table": (_describe_table, _rows('"table"', [(x,) for x in _EVENT_TABLE])),
+    "describe_parquet": (_statement("describe parquet '{d}/nation.parquet';"), _rows("column_name, column_type", [("n_nationkey", "Int"), ("n_name", "String"), ("n_regionkey", "Int")])),
+    "explain_select": (_explain, "SELECT true AS scan, true AS pushed, true AS partial, true AS sorted"),
+    "dummy_limit": (_statement("select foo, bar from json 'dummy://x' limit 25;"), "SELECT 4::BIGINT AS foo, (i % 10)::BIGINT AS bar FROM range(25) t(i)"),
+}
 
 
 def queries() -> dict[str, Query]:
     out = {k: _statement(s) for k, (s, _) in STATEMENTS.items()}
     out |= {k: _over_files(s) for k, (s, _) in FILE_STATEMENTS.items()}
-    out["describe_json"] = _describe(False)
-    out["describe_table"] = _describe(True)
-    out["describe_parquet"] = _statement("describe parquet '{d}/nation.parquet';")
-    out["explain_select"] = _statement("explain " + FLAGSHIP)
-    out["dummy_limit"] = _statement("select foo, bar from json 'dummy://x' limit 25;")
-    return out
+    return out | {k: q for k, (q, _) in OTHER.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {k: sql for k, (_, sql) in (STATEMENTS | FILE_STATEMENTS).items()}
-    out["describe_parquet"] = "SELECT * FROM (VALUES ('n_nationkey', 'Int'), ('n_name', 'String'), ('n_regionkey', 'Int')) t(column_name, column_type)"
-    out["dummy_limit"] = "SELECT 4::BIGINT AS foo, (i % 10)::BIGINT AS bar FROM range(25) t(i)"
-    return out
+    return {k: sql for k, (_, sql) in (STATEMENTS | FILE_STATEMENTS | OTHER).items()}

@@ -27,12 +27,12 @@ def read(spark: SparkSession, path: Path) -> DataFrame:
         raise QueryError(f"{path.spelled} can't be listed")
     s3 = re.match(r"s3a?://([^/]+)/?", path.spelled)
     rows = []
-    for below, at, size in paths.listing(spark, path):
-        full = posixpath.join(path.spelled, below) if below else path.spelled
-        when = dt.datetime.fromtimestamp(at / 1000, dt.UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
-        if s3:
-            rows.append((full, s3[1], full[s3.end() :], None, None, when, size))
+    for f in paths.listing(spark, path):
+        full = path.spelled.rstrip("/") + f.below if f.below else path.spelled
+        when = dt.datetime.fromtimestamp(f.modified / 1000, dt.UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+        if s3:  # the connector says whose a key is, but not its storage class
+            rows.append((full, s3[1], full[s3.end() :], f.owner or None, None, when, f.size))
         else:
             parent, name = posixpath.split(full)
-            rows.append((full, name, parent, name.rpartition(".")[2] if "." in name else "", when, size))
+            rows.append((full, name, parent, name.rpartition(".")[2] if "." in name else "", when, f.size))
     return spark.createDataFrame(rows, _OBJECT if s3 else _FILE)

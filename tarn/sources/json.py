@@ -1,11 +1,16 @@
 """JSON: a stream of objects in any layout, read as VARIANT records beside their text.
 
 Files of one object a line are read by lines, which Spark splits and parses in
-the JVM. Whether they are is proven, not assumed: one pass looks for lines that
-are no single object, and finds the fields' types in passing. Any other layout
+the JVM. Which files are is proven, not assumed: one pass looks for lines that
+are no single object, and finds the fields' types in passing. Any other file
 (arrays, arrays among objects, objects over several lines or side by side) is cut
 into the same kind of records by a decoder that skips white space, commas and
-brackets between objects; it reads a file as a whole.
+brackets between objects; it reads a file as a whole. What the pass finds is kept
+for as long as the files have the same names, sizes and times, so further queries
+of the same table make none.
+
+Previews (a limit without filter, order or groups; describe) make no pass. They
+judge by as many lines as they can need.
 
 Fields that have one type all through become native columns; others stay VARIANT.
 """
@@ -116,28 +121,90 @@ class _Schema:
         return known.get(word, T.VariantType())
 
 
-def _odd(t: Column) -> Column:
+def _odd(t: Column, parsed: Column) -> Column:
     """Whether a line is anything but one whole object."""
     blank = F.regexp_replace(t, _STRING, F.lit('""'))
     beside = F.when(t.rlike(_SIDE_BY_SIDE), blank.rlike(_SIDE_BY_SIDE)).otherwise(False)
-    return F.try_parse_json(t).isNull() | ~t.startswith("{") | ~t.endswith("}") | beside
-
-
-def read(spark: SparkSession, path: Path, promote: bool = True, preview: bool = False) -> Records:
-    """The records of a JSON table; with ``promote`` fields of one type are known as such, unless it is a preview."""
-    promote = promote and not preview
+    return parsed.isNull() | ~t.startswith("{") | ~t.endswith("}") | beside
+
+
+#: What passes found: (path, files as they were, types wanted) -> (URLs of odd files, the fields' types in each other file).
+_found: dict[tuple, tuple[list[str], list[dict[str, T.DataType]]]] = {}
+KEPT = 64
+
+
+def _proven(path: Path, rows: DataFrame, promote: bool, files: list[paths.File]) -> tuple[list[str], list[dict[str, T.DataType]]]:
+    key = (path.url, promote, hash(tuple((f.url, f.modified, f.size) for f in files)))
+    if key not in _found:
+        tried = rows.withColumn("v", F.try_parse_json("t"))
+        schema = F.schema_of_variant_agg("v") if promote else F.lit(None).cast("string")
+        each = tried.groupBy("file").agg(F.count_if(_odd(F.col("t"), F.col("v"))).alias("n"), schema.alias("s"))
+        # a row for each different schema; files that are plain aren't named
+        got = each.groupBy(F.expr("if(n = 0, s, null)").alias("s")).agg(F.expr("collect_list(if(n > 0, file, null))").alias("odd")).collect()
+        while len(_found) >= KEPT:
+            del _found[next(iter(_found))]
+        _found[key] = ([f for r in got for f in r.odd], [_known(r.s) for r in got if r.s])
+    return _found[key]
+
+
+def _merged(each: list[dict[str, T.DataType]]) -> dict[str, T.DataType]:
+    """The fields' types over all; nothing if names differ by case only."""
+    out: dict[str, T.DataType] = {}
+    for known in each:
+        for name, kind in known.items():
+            out[name] = _one(out[name], kind) if name in out else kind
+    return out if len({n.lower() for n in out}) == len(out) else {}
+
+
+def _one(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds both, VARIANT if none does. Whole numbers and decimals in one field are decimals, as within a file."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if {type(a), type(b)} == {T.LongType, T.DoubleType}:
+        return T.DoubleType()
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_one(a.elementType, b.elementType))
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        fields = _merged([{f.name: f.dataType for f in x.fields} for x in (a, b)])
+        return T.StructType([T.StructField(n, k) for n, k in fields.items()]) if fields else T.VariantType()
+    return T.VariantType()
+
+
+def read(spark: SparkSession, path: Path, promote: bool = True, preview: int = 0) -> Records:
+    """The records of a JSON table; with ``promote`` fields of one type are known as such. ``preview``: only so many are wanted."""
     if path.scheme == "kafka":
-        return _parsed(paths.kafka(spark, path).select(F.translate("value", "\0", "").alias("t")), promote)
-    if path.scheme == "files" and paths.exists(spark, path):
-        rows = paths.lines(spark, path).select(F.trim(F.translate("value", "\0\r", "")).alias("t")).where("t <> ''")
-        if preview:
-            if not rows.limit(PEEK).where(_odd(F.col("t"))).isEmpty():
-                return _parsed(paths.whole_texts(spark, path).mapInPandas(_cut, "t string"), False)
-            return _parsed(rows.withColumnRenamed("t", "value").mapInPandas(_cut, "t string"), False)  # line by line
-        odd_lines, schema = rows.agg(F.count_if(_odd(F.col("t"))), F.schema_of_variant_agg(F.try_parse_json("t"))).first()
-        if not odd_lines:
-            return Records(rows.select("t", F.parse_json("t").alias("v")), _known(schema) if promote else {})
-    return _parsed(paths.whole_texts(spark, path).mapInPandas(_cut, "t string"), promote)
+        return _parsed(paths.kafka(spark, path).select(F.translate("value", "\0", "").alias("t")), promote and not preview)
+    if path.scheme == "web":
+        path = paths.fetched(spark, path.url)
+    if path.scheme != "files" or not paths.exists(spark, path):
+        return _parsed(paths.whole_texts(spark, path).mapInPandas(_cut, "t string"), False)
+    trimmed = F.trim(F.translate("value", "\0\r", "")).alias("t")
+    rows = paths.lines(spark, path).select(trimmed, F.col("_metadata.file_path").alias("file")).where("t <> ''")
+    if preview:
+        if rows.limit(max(PEEK, 2 * preview)).where(_odd(F.col("t"), F.try_parse_json("t"))).isEmpty():
+            return _parsed(rows.select(F.col("t").alias("value")).mapInPandas(_cut, "t string"), False)  # line by line
+        return whole(spark, path)
+    files = [f for f in paths.listing(spark, path) if not f.below.endswith(".crc")]
+    odd, types = _proven(path, rows, promote, files)
+    plain = rows.select("t", F.parse_json("t").alias("v"))
+    if not odd:
+        return Records(plain, _merged(types) if promote else {})
+    urls = {paths.same(f.url): f.url for f in files}
+    odd = [urls[paths.same(o)] for o in odd]
+    cut = paths.whole_texts(spark, path, odd).mapInPandas(_cut, "t string")
+    rest = sorted(set(urls.values()) - set(odd))
+    if not rest:
+        return _parsed(cut, promote)
+    cut = _parsed(cut, promote)
+    plain = paths.lines(spark, path, rest).select(trimmed).where("t <> ''").select("t", F.parse_json("t").alias("v"))
+    return Records(plain.union(cut.df), _merged([*types, cut.types]) if promote else {})
+
+
+def whole(spark: SparkSession, path: Path) -> Records:
+    """The records of a table whose files are all read as a whole, without types."""
+    return _parsed(paths.whole_texts(spark, path).mapInPandas(_cut, "t string"), False)
 
 
 def _parsed(rows: DataFrame, promote: bool) -> Records:

@@ -1,8 +1,17 @@
-"""Paths: schemes, what is there, and the bytes behind web addresses."""
+"""Paths: schemes, what is there, and files of what is behind web addresses.
+
+An s3 path is a prefix of keys: where neither a file nor a folder has that very name,
+all that begin with it are meant.
+"""
 
 from __future__ import annotations
 
+import json
 import re
+import tempfile
+import urllib.parse
+import urllib.request
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,76 +52,131 @@ def _hadoop(spark: SparkSession, url: str):
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
-def listing(spark: SparkSession, path: Path) -> list[tuple[str, int, int]]:
-    """(path below the given one, modification time in ms, size) of each file, all levels; nothing if nothing is there.
+def shared(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir; only a local master without that setting has a temporary folder instead."""
+    sc = spark.sparkContext
+    top = sc.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise QueryError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.gettempdir()
+    path = f"{top.rstrip('/')}/tarn-{uuid.uuid4().hex}/{name}"
+    fs, own = _hadoop(spark, path)
+    fs.deleteOnExit(own.getParent())
+    return path
+
 
-    A path that is a file has one entry, of an empty name.
-    """
+def tops(spark: SparkSession, path: Path, prefix: bool | None = None) -> list:
+    """The files and folders that the path means: itself, or (s3, ``prefix``) all whose names begin with it."""
     fs, top = _hadoop(spark, path.url)
-    if not fs.exists(top):
-        return []
-    root = fs.getFileStatus(top)
-    if root.isFile():
-        return [("", root.getModificationTime(), root.getLen())]
-    base, out = root.getPath().toUri().getPath().rstrip("/") + "/", []
-    files = fs.listFiles(top, True)
-    while files.hasNext():
-        f = files.next()
-        out.append((f.getPath().toUri().getPath()[len(base) :], f.getModificationTime(), f.getLen()))
-    return sorted(out)
+    if fs.exists(top):
+        return [fs.getFileStatus(top)]
+    if prefix if prefix is not None else re.match(r"s3a?:", path.url):
+        escaped = re.sub(r"([\\*?\[\]{}])", r"\\\1", path.url)
+        return list(fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(escaped + "*")) or [])
+    return []
 
 
-def exists(spark: SparkSession, path: Path) -> bool:
+@dataclass(frozen=True)
+class File:
+    """below: what the path doesn't spell of the file's own; empty for the path itself."""
+
+    below: str
+    url: str
+    modified: int
+    size: int
+    owner: str
+
+
+def listing(spark: SparkSession, path: Path, prefix: bool | None = None) -> list[File]:
+    """Each file, all levels, sorted; nothing if nothing is there."""
     fs, top = _hadoop(spark, path.url)
-    return fs.exists(top)
+    out = []
+    for status in tops(spark, path, prefix):
+        base = len(fs.makeQualified(top).toUri().getPath().rstrip("/"))
+        if status.isFile():
+            found = [status]
+        else:
+            files, found = fs.listFiles(status.getPath(), True), []
+            while files.hasNext():
+                found.append(files.next())
+        for f in found:
+            below = f.getPath().toUri().getPath()[base:]
+            out.append(File(below, f.getPath().toString(), f.getModificationTime(), f.getLen(), f.getOwner()))
+    return sorted(out, key=lambda f: f.below)
+
+
+def same(url: str) -> str:
+    """A URL in one of the spellings that Hadoop and Spark have for it."""
+    return urllib.parse.unquote(re.sub(r"^([a-z0-9]+):/+", r"\1:/", url))
+
+
+def exists(spark: SparkSession, path: Path) -> bool:
+    return bool(tops(spark, path))
 
 
-def fetched(url: str) -> bytes:
-    """What a web address answers, unpacked if it is named as gzip. Read on the driver."""
-    import gzip
-    import urllib.request
+def fetched(spark: SparkSession, url: str) -> Path:
+    """A file, in the shared folder, of what a web address answers. Copied piece by piece."""
 
+    name = urllib.parse.urlsplit(url).path.rpartition("/")[2] or "answer"
+    path = shared(spark, re.sub(r"[^A-Za-z0-9.-]|^[.-]", "x", name))
+    fs, own = _hadoop(spark, path)
     with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": USER_AGENT}), timeout=60) as answer:
-        data = answer.read()
-    return gzip.decompress(data) if re.search(r"\.gz(ip)?$", url) else data
+        out = fs.create(own, True)
+        try:
+            while part := answer.read(1 << 20):
+                out.write(bytearray(part))
+        finally:
+            out.close()
+    return Path("files", url, path)
 
 
-def whole_texts(spark: SparkSession, path: Path) -> DataFrame:
-    """Column ``value``: the text of each file. Empty if nothing is there."""
-    if path.scheme == "web":
-        return spark.createDataFrame([(fetched(path.url).decode("utf-8", "replace"),)], "value string")
-    if path.scheme == "files" and not exists(spark, path):
-        return spark.createDataFrame([], "value string")
+def _reader(spark: SparkSession):
+    return spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
+
+
+def whole_texts(spark: SparkSession, path: Path, only: list[str] | None = None) -> DataFrame:
+    """Column ``value``: the text of each file (of those whose URLs are in ``only``). Empty if nothing is there."""
     if path.scheme != "files":
         raise QueryError(f"{path.spelled} can't be read as files")
-    files = spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
-    return files.text(_hidden_too(spark, path), wholetext=True).select("value")
+    files = _hidden_too(spark, path) if only is None else only
+    if not files:
+        return spark.createDataFrame([], "value string")
+    return _reader(spark).text(files, wholetext=True).select("value")
 
 
-def lines(spark: SparkSession, path: Path) -> DataFrame:
-    """Column ``value``: the lines of all files, split within large ones."""
-    if path.scheme != "files" or not exists(spark, path):
-        return whole_texts(spark, path).select(F.explode(F.split("value", "\r?\n")).alias("value"))
-    return spark.read.option("recursiveFileLookup", True).text(_hidden_too(spark, path)).select("value")
+def lines(spark: SparkSession, path: Path, only: list[str] | None = None) -> DataFrame:
+    """Column ``value``: the lines of all files, split within large ones; ``_metadata`` says which file."""
+    files = _hidden_too(spark, path) if only is None else only
+    return _reader(spark).text(files)
 
 
 def _hidden_too(spark: SparkSession, path: Path):
     """The path, or all files below if some have names that Spark passes over."""
-    hidden = [p for p, _, _ in listing(spark, path) if re.search(r"(^|/)[_.]", p) and not p.endswith(".crc")]
-    if not hidden:
-        return path.url
-    return [f"{path.url.rstrip('/')}/{p}" for p, _, _ in listing(spark, path) if not p.endswith(".crc")]
+    above = tops(spark, path)
+    if not above:
+        return []
+    files = listing(spark, path)
+    if any(re.search(r"(^|/)[_.]", f.below) and not f.below.endswith(".crc") for f in files):
+        return [f.url for f in files if not f.below.endswith(".crc")]
+    return [t.getPath().toString() for t in above]
 
 
-def kafka(spark: SparkSession, path: Path) -> DataFrame:
-    """Column ``value``: the messages that a topic holds now. Needs Spark's Kafka connector."""
-    m = re.fullmatch(r"kafka://([^/:]+)(?::(\d+))?/([^/:]+)(?::(\d+))?", path.spelled)
+def kafka_options(spelled: str) -> dict[str, str]:
+    """The connector's options for kafka://host[:port]/topic[:partition]: all that is there now, from the beginning."""
+    m = re.fullmatch(r"kafka://([^/:]+)(?::(\d+))?/([^/:]+)(?::(\d+))?", spelled)
     if not m:
-        raise QueryError(f"{path.spelled} is not kafka://host[:port]/topic[:partition]")
+        raise QueryError(f"{spelled} is not kafka://host[:port]/topic[:partition]")
     host, port, topic, partition = m.groups()
-    read = spark.read.format("kafka").option("kafka.bootstrap.servers", f"{host}:{port or 9092}").option("endingOffsets", "latest")
+    options = {"kafka.bootstrap.servers": f"{host}:{port or 9092}"}
     if partition is None:
-        read = read.option("subscribe", topic).option("startingOffsets", "earliest")
-    else:
-        read = read.option("assign", f'{{"{topic}":[{partition}]}}').option("startingOffsets", f'{{"{topic}":{{"{partition}":-2}}}}').option("endingOffsets", f'{{"{topic}":{{"{partition}":-1}}}}')
+        return options | {"subscribe": topic, "startingOffsets": "earliest", "endingOffsets": "latest"}
+    first, last = -2, -1  # the connector's numbers for these
+    offsets = lambda n: json.dumps({topic: {partition: n}})
+    return options | {"assign": json.dumps({topic: [int(partition)]}), "startingOffsets": offsets(first), "endingOffsets": offsets(last)}
+
+
+def kafka(spark: SparkSession, path: Path) -> DataFrame:
+    """Column ``value``: the messages that a topic holds now. Needs Spark's Kafka connector."""
+    read = spark.read.format("kafka").options(**kafka_options(path.spelled))
     return read.load().where("value is not null").select(F.col("value").cast("string").alias("value"))

@@ -1,47 +1,51 @@
-"""Small input files in the layouts that the tests need."""
+"""Small input files, our own, in the layouts that the tests need."""
 
 import gzip
 import json
 
 
-def nested(n=5):
-    letters = "abcde"[:n]
-    return [{"rownum": i, "arrayval": [f"{c}{k}" for k in (1, 2, 3)], "structval": {"inner_key": c}, "floatval": float(f"{i}.{i}")} for i, c in enumerate(letters, 1)]
+def boats():
+    """A list, an object and a decimal in each record."""
+    return [{"no": i, "crew": [f"{c}-{k}" for k in ("skipper", "mate", "cook")], "port": {"town": c.upper()}, "length": i + 0.25} for i, c in enumerate(("oslo", "pisa", "riga", "siem", "turk"), 1)]
 
 
-def deep():
-    return [{"rownum": i, "arrayval": [[f"{c}1a", f"{c}1b"], [f"{c}2a", f"{c}2b"]], "structval": {"a": {"b": c}}} for i, c in enumerate("abcde", 1)]
+def grids():
+    """Lists of lists and objects of objects."""
+    return [{"no": i, "grid": [[i * 10, i * 10 + 1], [i * 10 + 2, i * 10 + 3]], "box": {"lid": {"tag": f"t{i}"}}} for i in range(1, 6)]
 
 
-def states():
-    rows = [(1, "2018-01-01", "ordered"), (1, "2018-01-02", "in transit"), (1, "2018-01-03", "delivered"), (2, "2018-01-10", "in transit"), (2, "2018-01-01", "ordered"), (3, "2018-01-02", "ordered")]
-    return [{"user_id": u, "event_time": t, "state": s} for u, t, s in rows]
+def visits():
+    """Six visits of three guests; those of guest 20 are out of order."""
+    rows = [(10, "2031-05-01T08", "in"), (10, "2031-05-01T12", "lunch"), (10, "2031-05-01T17", "out"), (20, "2031-05-04T09", "out"), (20, "2031-05-02T09", "in"), (30, "2031-05-03T10", "in")]
+    return [{"guest": g, "at": t, "what": w} for g, t, w in rows]
 
 
 def lines(rows):
     return "\n".join(json.dumps(r) for r in rows)
 
 
-CSV = 'field1,"field2"\n1,"quoted ,"\n2,\\\\N\nescaped \\,,foobar\n'
+#: A header that is quoted in part, a comma in quotes, an escaped null token, an escaped comma without quotes.
+CSV = 'part,"remark"\n7,"long, thin"\n8,\\\\N\nodd \\,one,plain\n'
 
 
 def make(top):
     """Writes them all below ``top``."""
+    v = visits()
     out = {
-        "nested.json": lines(nested()),
-        "deep.json": lines(deep()),
-        "states.json": lines(states()),
-        "array.json": json.dumps(states(), indent=2),
-        "mixed.json": "\n".join([json.dumps(states()[:2]), "[]", json.dumps(states()[2:4]), json.dumps(states()[4]), json.dumps(states()[5:])]),
-        "side.json": "".join(json.dumps(r) for r in states()),
-        "simple.csv": CSV,
-        "directory/one.csv": 'field1,"field2"\n1,"quoted ,"\n',
-        "directory/two.csv": "field2,field1\n\\\\N,2\nfoobar,escaped \\,\n",
+        "boats.json": lines(boats()),
+        "grids.json": lines(grids()),
+        "visits.json": lines(v),
+        "array.json": json.dumps(v, indent=2),
+        "mixed.json": "\n".join([json.dumps(v[:3]), "[]", json.dumps(v[3]), json.dumps(v[4:5]), json.dumps(v[5:])]),
+        "side.json": "".join(json.dumps(r) for r in v),
+        "parts.csv": CSV,
+        "shelf/one.csv": 'part,"remark"\n7,"long, thin"\n',
+        "shelf/two.csv": "remark,part\n\\\\N,8\nplain,odd \\,one\n",
     }
     for name, text in out.items():
         path = top / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
     for suffix in ("gz", "gzip"):
-        (top / f"simple.csv.{suffix}").write_bytes(gzip.compress(CSV.encode()))
+        (top / f"parts.csv.{suffix}").write_bytes(gzip.compress(CSV.encode()))
     return top
