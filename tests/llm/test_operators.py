@@ -99,6 +99,29 @@ def test_substring_dedup_loses_nothing_with_a_full_sketch_and_many_flushes(docs,
     assert _removed(substring_dedup.remove_repeats(small).collect()) == _removed_by_force(docs.collect())
 
 
+@pytest.mark.parametrize("table", ["docs", "repeated", "empty"])
+def test_substring_dedup_with_a_sketch_that_stays_distributed(request, table):
+    df = request.getfixturevalue(table)
+    assert _removed(substring_dedup.remove_repeats(df, max_bits=8).collect()) == _removed_by_force(df.collect())
+
+
+def test_a_distributed_sketch_passes_the_same_anchors(docs, spark):
+    """As the broadcast one does, in flushes of one slice or of all."""
+    rows = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"), "text")
+    plane = substring_dedup.repeated_bits(docs, 35, 18, 18)
+    want = {}
+    for batch, a, b, own, place, bounds in substring_dedup._anchors(iter(rows.toArrow().to_batches()), 35, 18):
+        hit = np.ones(len(own), bool)
+        for row in range(substring_dedup.ROWS):
+            c = substring_dedup._cells(own, row, 18)
+            hit &= (plane[row][c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & 1 == 1
+        doc = np.searchsorted(bounds, place, "right") - 1
+        for i in np.unique(doc[hit]):
+            want[batch.column("d")[int(a + i)].as_py()] = np.unique(own[hit & (doc == i)]).tolist()
+    got = {r.d: np.frombuffer(bytes(r.hot), np.uint64).tolist() for r in substring_dedup.repeated_anchors(rows, 35, 18, 18).collect()}
+    assert got == want and len(got) > 8
+
+
 def test_flushes_make_no_difference(docs, monkeypatch):
     import pyarrow as pa
 
