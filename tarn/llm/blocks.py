@@ -21,8 +21,10 @@ centre of its block, the text whose blocks most others hold: that is what near c
 were made from, if it is there. What that links is contracted. Blocks that then still
 hold several components (one of those with the same texts) are compared as a whole, in
 numpy: texts of different components that Hamming distance lets pass, by a product of
-matrices of their sets. Blocks of more than ``CROWD`` texts are cut into segments, each
-two of which meet in a task. Only links leave a task, as spanning stars.
+matrices of their sets. Blocks of more than ``CROWD`` texts are cut into segments, two
+of which meet in a task, but for two of a block's largest component: if that has nearly
+all of the block, the work stays in proportion to it. Only links leave a task, as
+spanning stars.
 
 Exact copies count once from the start. Components come from star contraction; nothing
 of the corpus reaches the driver.
@@ -250,13 +252,19 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _crowds(rest: DataFrame, texts: DataFrame, crowd: int) -> DataFrame:
-    """Links between different roots within the blocks of rest (k, n, h, root, f0...)."""
+    """Links between different roots within the blocks of rest (k, h, root, f0..., and as numbers: big, of the block's
+    most frequent root or not, and how many texts of the block are, and are not).
+
+    Segments of the others meet each other and those of the big root; those of the big root don't meet.
+    """
     n = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     f = [f"f{w}" for w in range(WORDS)]
     own = cut(_own(rest.select(F.col("h").alias("w")).distinct(), texts))
-    cuts = rest.withColumn("s", F.ceil(F.col("n") / crowd).cast("int")).withColumn("g", F.expr("cast(pmod(xxhash64(h, 5), s) as int)"))
-    cuts = cuts.select("k", "h", "root", *f, "g", F.explode(F.expr("if(s = 1, array(0), filter(sequence(0, s - 1), o -> o <> g))")).alias("o"))
-    rows = cuts.select("k", F.least("g", "o").alias("a"), F.greatest("g", "o").alias("b"), "h", "root", *f)
+    cuts = rest.withColumns({"p": F.ceil(F.col("bigs") / crowd).cast("int"), "q": F.ceil(F.col("others") / crowd).cast("int")})
+    cuts = cuts.withColumn("g", F.expr("cast(pmod(xxhash64(h, 5), if(big, p, q)) as int)"))
+    meets = "transform(filter(sequence(0, q - 1), o -> o <> g), o -> struct(least(g, o) as a, greatest(g, o) as b)), transform(sequence(0, p - 1), j -> struct(g as a, q + j as b))"
+    cuts = cuts.select("k", "h", "root", *f, F.expr(f"explode(if(big, transform(sequence(0, q - 1), i -> struct(i as a, q + g as b)), concat({meets})))").alias("at"))
+    rows = cuts.select("k", "at.a", "at.b", "h", "root", *f)
     rows = rows.join(own.withColumnRenamed("h", "w"), F.col("h") == F.col("w")).select("k", "a", "b", "h", "root", *f, "own")
     return cut(rows.repartition(n, "k", "a", "b").sortWithinPartitions("k", "a", "b").mapInArrow(_met, "u binary, v binary"))
 
@@ -278,9 +286,13 @@ def edges(nodes: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     roots = components(found)
     named = marks.join(roots, F.col("h") == F.col("node"), "left").select("h", *f, F.coalesce("root", "h").alias("root"))
     held = shared.where("n > 2").join(named, "h")
-    split = held.groupBy("k").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n"), *(F.bit_xor(F.xxhash64(F.lit(i), "h")).alias(f"z{i}") for i in (0, 1)))
-    split = split.where("x <> y").groupBy("n", "z0", "z1").agg(F.min("k").alias("j"))
-    rest = cut(held.drop("n").join(split, F.col("k") == F.col("j")).select("k", "n", "h", "root", *f))
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "h")).alias(f"z{i}") for i in (0, 1)]
+    each = held.groupBy("k", "root").agg(F.count("*").alias("c"), *same)
+    split = each.groupBy("k").agg(F.count("*").alias("roots"), F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top"), F.bit_xor("z0").alias("z0"), F.bit_xor("z1").alias("z1"))
+    split = split.where("roots > 1").groupBy("n", "z0", "z1").agg(F.min(F.struct("k", "top")).alias("one"))  # of blocks of the same texts one
+    split = split.select(F.col("one.k").alias("j"), F.col("one.top.root").alias("most"), F.col("one.top.c").alias("bigs"), (F.col("n") - F.col("one.top.c")).alias("others"))
+    rest = held.drop("n").join(split, F.col("k") == F.col("j"))
+    rest = cut(rest.select("k", "h", "root", *f, (F.col("root") == F.col("most")).alias("big"), "bigs", "others"))
     return found if rest.isEmpty() else found.union(_crowds(rest, texts, crowd))
 
 

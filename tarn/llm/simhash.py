@@ -15,6 +15,9 @@ the last level's groups have 4,096 members at most.
 Copies share a fingerprint and count once from the start. Components come from
 star contraction in Spark; nothing of the corpus reaches the driver.
 
+Three bits of 64 are next to identity: texts of Jaccard similarity 0.8 differ in some
+ten. ``near_copies`` is the same operator for those, with blocks for that radius.
+
 Defined cases: null or empty text has fingerprint zero and links like any other;
 repeated rows and ids keep a row each; null doc_id gets its component's smallest
 doc_id (null if there is none); other columns are not read.
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm._components import components
 from tarn.llm._store import cut
+from tarn.llm.blocks import near_copies  # noqa: F401
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Blocks of each level, and the members of a key from which the next level takes over.
