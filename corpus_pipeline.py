@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import blocks, decontaminate, packing, quality, substring_dedup
+from tarn.llm import decontaminate, packing, quality, simhash, substring_dedup
 from tarn.llm._store import cut, documents
 from tarn.llm.queries import tokenizer_path
 
+#: Keys of under 100 bytes each.
+BROADCAST_ROWS = 100_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts, each row by its text; null and empty texts are scored like others. All of an unlabelled or empty table stay or go alike."""
@@ -36,7 +39,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Wordless and null texts are one group. Of rows alike in id and text one stays, whichever; an empty table stays empty.
     """
-    groups = blocks.near_copies(docs.select(row_key().alias("doc_id"), "text"))
+    groups = simhash.near_copies(docs.select(row_key().alias("doc_id"), "text"))
     first = cut(groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
     kept = keyed(docs).join(first.select(F.col("doc_id").alias("first_key")), F.col("key") == F.col("first_key"), "left_semi")
     if not first.where("n > 1").isEmpty():
@@ -67,6 +70,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     rows = docs.select(row_key().alias("doc_id"), "text")
     found = decontaminate.contaminated(rows, documents(spark, sf_dir, "item_id", "text", table="benchmark"))
     leaked = cut(found).select(F.col("doc_id").alias("leaked_key"))
+    if leaked.count() <= BROADCAST_ROWS:  # else the documents would be shuffled for a few rows
+        leaked = F.broadcast(leaked)
     return keyed(docs).join(leaked, F.col("key") == F.col("leaked_key"), "left_anti").select("row.*")
 
 
