@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from tarn.llm._store import cut
 
 CAPACITY, END = 4096, 1
-CACHE_WORDS = 50_000
+CACHE_WORDS = 300_000
 BATCH_ROWS = 2048
 
 
@@ -70,8 +70,7 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.letter = _byte_letters()
-        self.pieces = self._Words(self._piece)
-        self.words = self._Words(self._word)
+        self.words = self._Words(self._word)  # and their pieces, which are words too
 
     def _piece(self, piece: str) -> bytes:
         if not (piece.isascii() and piece.isalnum()):
@@ -79,9 +78,11 @@ class Encoder:
         return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
 
     def _word(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha():
-            return self.pieces[word]
-        return b"".join([self.pieces[p] for p in self._PIECES.findall(word)])
+        if not (word.isascii() and word.isalpha()):
+            pieces = self._PIECES.findall(word)
+            if pieces != [word]:
+                return b"".join([self.words[p] for p in pieces])
+        return self._piece(word)
 
     def ids(self, text: str) -> bytes:
         try:
