@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +44,22 @@ def cut(df: DataFrame) -> DataFrame:
     folder(df.sparkSession)
     conf = df.sparkSession.sparkContext._jsc.sc().conf()
     conf.setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _tidy(df.sparkSession)
+    return out
+
+
+#: Seconds between two calls for the driver's garbage, and when the last was.
+TIDY_SECONDS = 20
+_tidied = [0.0]
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Spark deletes shuffles and copies once the driver's collector has found them unused, which a heap with room may put off for long."""
+    if time.monotonic() - _tidied[0] > TIDY_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _tidied[0] = time.monotonic()
 
 
 def place(spark: SparkSession, name: str) -> str:

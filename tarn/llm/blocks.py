@@ -18,11 +18,11 @@ mean distance of such a pair.
 
 Verification makes no pairs of all texts of a block. First each is compared with the
 centre of its block, the text whose blocks most others hold: that is what near copies
-were made from, if it is there. What that links is contracted. Blocks that then still
-hold several components (one of those with the same texts) are compared as a whole, in
-numpy: texts of different components that Hamming distance lets pass, by a product of
-matrices of their sets. Blocks of more than ``CROWD`` texts are cut into segments, two
-of which meet in a task, but for two of a block's largest component: if that has nearly
+were made from, if it is there. Texts linked to the same centre are of one part. Blocks
+that then still hold several parts (one of those with the same texts) are compared as a
+whole, in numpy: texts of different parts that Hamming distance lets pass, by a product
+of matrices of their sets. Blocks of more than ``CROWD`` texts are cut into segments, two
+of which meet in a task, but for two of a block's largest part: if that has nearly
 all of the block, the work stays in proportion to it. Only links leave a task, as
 spanning stars.
 
@@ -283,7 +283,10 @@ def edges(nodes: DataFrame, texts: DataFrame, crowd: int = CROWD) -> DataFrame:
     first = first.join(marks.select(F.col("h").alias("v"), *(F.col(c).alias(f"v_{c}") for c in f)), "v")
     away = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"v_{c}"))) for c in f), F.lit(0))
     found = _linked(first.where(away <= RADIUS).select("u", "v"), texts)
-    roots = components(found)
+    # not whole components: the text that one was linked to, and the one that this was linked to, which are of its component
+    up = found.groupBy("u").agg(F.min("v").alias("p"))
+    over = up.select(F.col("u").alias("c"), F.col("p").alias("pp"))
+    roots = cut(up.join(over, F.col("p") == F.col("c"), "left").select(F.col("u").alias("node"), F.coalesce("pp", "p").alias("root")))
     named = marks.join(roots, F.col("h") == F.col("node"), "left").select("h", *f, F.coalesce("root", "h").alias("root"))
     held = shared.where("n > 2").join(named, "h")
     same = [F.bit_xor(F.xxhash64(F.lit(i), "h")).alias(f"z{i}") for i in (0, 1)]

@@ -99,9 +99,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = rows.selectExpr("doc_id", "i", "th as w", f"explode(array({', '.join(_seed(m, str(_BACK)) for m in range(len(MASKS)))})) as h")
     met = rows.join(near, F.col("h") == F.col("sh"))
     width = _BACK + _AHEAD
-    met = met.select("doc_id", "item_id", "i", "need", *(F.expr(f"if(get(w, {k}) = get(iw, {k}), 1, 0)").alias(f"e{k}") for k in range(width)))
-    best = F.greatest(*(sum((F.col(f"e{k}") for k in range(s + 1, s + OVERLAP)), F.col(f"e{s}")) for s in range(width - OVERLAP + 1)))
-    found = met.select("doc_id", "item_id", "i", "need", best.alias("matched")).where("matched >= need")
+    met = met.selectExpr("doc_id", "item_id", "i", "need", f"zip_with(slice(w, 1, {width}), iw, (x, y) -> if(x = y, 1, 0)) as e")
+    best = f"array_max(transform(sequence(1, {width - OVERLAP + 1}), s -> aggregate(slice(e, s, {OVERLAP}), 0, (n, x) -> n + x)))"
+    found = met.selectExpr("doc_id", "item_id", "i", "need", f"{best} as matched").where("matched >= need")
     return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_seeds"), F.max("matched").cast("long").alias("matched"), F.min("i").cast("long").alias("first_token"))
 
 
