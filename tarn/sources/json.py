@@ -5,8 +5,10 @@ the JVM. Which files are is proven, not assumed: one pass looks for lines that
 are no single object, and finds the fields' types in passing. Any other file
 (arrays, arrays among objects, objects over several lines or side by side) is cut
 into the same kind of records by a decoder that skips white space, commas and
-brackets between objects; it reads a file as a whole. What the pass finds is kept
-for as long as the files have the same names, sizes and times, so further queries
+brackets between objects; it reads a file of up to ``LARGE`` bytes as a whole, and
+larger ones in chunks (``chunks``), by many tasks. The pass doesn't hold lines of
+``LONG`` bytes or more: a file that has one, as its size tells, is cut like the odd
+ones. What the pass finds is kept for as long as the files have the same names, sizes and times, so further queries
 of the same table make none.
 
 Previews (a limit without filter, order or groups; describe) make no pass. They
@@ -28,12 +30,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.errors import QueryError
-from tarn.sources import paths
+from tarn.sources import chunks, paths
 from tarn.sources.paths import Path
 
 #: Two objects or arrays side by side; within one JSON value this only occurs in strings, which are blanked before a line is judged by it.
 _SIDE_BY_SIDE, _STRING = r"[}\]]\s*[{\[]", r'"(?:[^"\\]++|\\.)*+"'
 PEEK = 1000
+#: Odd files of more bytes are cut in chunks; of compressed ones, less by PACKED.
+LARGE, PACKED = 16 << 20, 20
+#: The pass over files that aren't compressed holds no line of so many bytes.
+LONG = 16 << 20
 _BETWEEN = re.compile(r"[\s,\[\]]*")
 
 
@@ -133,20 +139,37 @@ _found: dict[tuple, tuple[list[str], list[dict[str, T.DataType]]]] = {}
 KEPT = 64
 
 
-def _proven(path: Path, rows: DataFrame, promote: bool, files: list[paths.File]) -> tuple[list[str], list[dict[str, T.DataType]]]:
+def _proven(spark: SparkSession, path: Path, promote: bool, files: list[paths.File]) -> tuple[list[str], list[dict[str, T.DataType]]]:
     key = (path.url, promote, hash(tuple((f.url, f.modified, f.size) for f in files)))
     if key not in _found:
-        tried = rows.withColumn("v", F.try_parse_json("t"))
+        long = {paths.same(f.url): f for f in files if f.size >= LONG and not _packed(f)}
+        value, own = F.col("value"), [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")]
+        if not long:
+            rows = paths.lines(spark, path).select("value", *own)
+        else:
+            rows, packed = paths.lines(spark, path, [f.url for f in files if not _packed(f)], LONG).select("value", *own), [f.url for f in files if _packed(f)]
+            if packed:
+                rows = rows.union(paths.lines(spark, path, packed).select("value", *own))
+        tried = rows.select("file", "size", (F.octet_length(value) + 1).cast("long").alias("bytes"), F.trim(F.translate(value, "\0\r", "")).alias("t")).withColumn("v", F.when(F.col("t") != "", F.try_parse_json("t")))
         schema = F.schema_of_variant_agg("v") if promote else F.lit(None).cast("string")
-        each = tried.groupBy("file").agg(F.count_if(_odd(F.col("t"), F.col("v"))).alias("n"), schema.alias("s"))
-        # a row for each different schema; files that are plain aren't named
-        got = each.groupBy(F.expr("if(n = 0, s, null)").alias("s")).agg(F.expr("collect_list(if(n > 0, file, null))").alias("odd")).collect()
+        each = tried.groupBy("file").agg(F.count_if((F.col("t") != "") & _odd(F.col("t"), F.col("v"))).alias("n"), schema.alias("s"), F.sum("bytes").alias("bytes"), F.max("size").alias("size"))
+        # a row for each different schema; files that are plain aren't named, unless they may have long lines
+        seen = F.when((F.col("n") == 0) & (F.col("size") >= LONG), F.struct("file", "bytes"))
+        got = each.groupBy(F.expr("if(n = 0, s, null)").alias("s")).agg(F.expr("collect_list(if(n > 0, file, null))").alias("odd"), F.collect_list(seen).alias("seen")).collect()
+        odd = [f for r in got for f in r.odd]
+        # a line that was passed over leaves at least LONG bytes of the size; ends of lines of two bytes may too, if there are very many
+        held, known = {paths.same(x.file): x.bytes for r in got for x in r.seen}, {paths.same(f) for f in odd}
+        odd += [f.url for u, f in long.items() if u not in known and f.size - held.get(u, 0) > LONG // 2]
         while len(_found) >= KEPT:
             del _found[next(iter(_found))]
-        _found[key] = ([f for r in got for f in r.odd], [_known(r.s) for r in got if r.s])
+        _found[key] = (odd, [_known(r.s) for r in got if r.s])
     return _found[key]
 
 
+def _packed(file: paths.File) -> bool:
+    return bool(re.search(paths.PACKED, file.url))
+
+
 def _merged(each: list[dict[str, T.DataType]]) -> dict[str, T.DataType]:
     """The fields' types over all; nothing if names differ by case only."""
     out: dict[str, T.DataType] = {}
@@ -187,13 +210,14 @@ def read(spark: SparkSession, path: Path, promote: bool = True, preview: int = 0
             return _parsed(rows.select(F.col("t").alias("value")).mapInPandas(_cut, "t string"), False)  # line by line
         return whole(spark, path)
     files = [f for f in paths.listing(spark, path) if not f.below.endswith(".crc")]
-    odd, types = _proven(path, rows, promote, files)
+    odd, types = _proven(spark, path, promote, files)
     plain = rows.select("t", F.parse_json("t").alias("v"))
     if not odd:
         return Records(plain, _merged(types) if promote else {})
     urls = {paths.same(f.url): f.url for f in files}
     odd = [urls[paths.same(o)] for o in odd]
-    cut = paths.whole_texts(spark, path, odd).mapInPandas(_cut, "t string")
+    found = set(odd)
+    cut = _cut_files(spark, path, [f for f in files if f.url in found])
     rest = sorted(set(urls.values()) - set(odd))
     if not rest:
         return _parsed(cut, promote)
@@ -203,10 +227,25 @@ def read(spark: SparkSession, path: Path, promote: bool = True, preview: int = 0
 
 
 def whole(spark: SparkSession, path: Path) -> Records:
-    """The records of a table whose files are all read as a whole, without types."""
+    """The records of a table whose files are all cut by the decoder, without types."""
     if path.scheme == "web":
         path = paths.fetched(spark, path.url)
-    return _parsed(paths.whole_texts(spark, path).mapInPandas(_cut, "t string"), False)
+    if path.scheme != "files":
+        return _parsed(paths.whole_texts(spark, path).mapInPandas(_cut, "t string"), False)
+    return _parsed(_cut_files(spark, path, [f for f in paths.listing(spark, path) if not f.below.endswith(".crc")]), False)
+
+
+def _cut_files(spark: SparkSession, path: Path, files: list[paths.File]) -> DataFrame:
+    """Column ``t``: the objects in the files, those of large ones cut in chunks."""
+    chunks.bounded(spark)
+    large, small = [], []
+    for f in files:
+        (large if f.size > (LARGE // PACKED if _packed(f) else LARGE) else small).append(f)
+    small = [f.url for f in small]
+    if not large:
+        return paths.whole_texts(spark, path, small).mapInPandas(_cut, "t string")
+    cut = chunks.records(spark, large, objects)
+    return cut.union(paths.whole_texts(spark, path, small).mapInPandas(_cut, "t string")) if small else cut
 
 
 def _parsed(rows: DataFrame, promote: bool) -> Records:

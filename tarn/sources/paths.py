@@ -22,6 +22,8 @@ from tarn.errors import QueryError
 # The schemes of the language, and those of Hadoop file systems that work as files do.
 FILES, WEB, EVENTS = ("file", "s3", "s3a", "hdfs", "viewfs", "abfs", "abfss", "gs"), ("http", "https"), ("kafka", "dummy")
 USER_AGENT = "tarn/1.0"
+#: Names of compressed files, whose sizes aren't those of their texts.
+PACKED = r"\.(gz|bz2|zst|zstd|lz4|snappy|deflate)$"
 
 
 @dataclass(frozen=True)
@@ -145,10 +147,15 @@ def whole_texts(spark: SparkSession, path: Path, only: list[str] | None = None)
     return _reader(spark).text(files, wholetext=True).select("value")
 
 
-def lines(spark: SparkSession, path: Path, only: list[str] | None = None) -> DataFrame:
-    """Column ``value``: the lines of all files, split within large ones; ``_metadata`` says which file."""
+def lines(spark: SparkSession, path: Path, only: list[str] | None = None, longest: int | None = None) -> DataFrame:
+    """Column ``value``: the lines of all files, split within large ones; ``_metadata`` says which file. Lines of ``longest`` bytes or more are passed over."""
     files = _hidden_too(spark, path) if only is None else only
-    return _reader(spark).text(files)
+    return (_reader(spark).option("mapreduce.input.linerecordreader.line.maxlength", longest) if longest else _reader(spark)).text(files)
+
+
+def between(spark: SparkSession, files: list[str], mark: str) -> DataFrame:
+    """Column ``value``: what lies between the marks in the files, split within large ones; ``_metadata`` as for lines."""
+    return _reader(spark).option("lineSep", mark).text(files)
 
 
 def _hidden_too(spark: SparkSession, path: Path):
