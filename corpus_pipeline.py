@@ -41,6 +41,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     groups = simhash.near_copies(docs.select(row_key().alias("doc_id"), "text"))
     first = cut(groups.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
+    del groups  # its copies are not needed while the texts are shuffled
     kept = keyed(docs).join(first.select(F.col("doc_id").alias("first_key")), F.col("key") == F.col("first_key"), "left_semi")
     if not first.where("n > 1").isEmpty():
         kept = kept.dropDuplicates(["key"])

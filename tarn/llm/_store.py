@@ -15,11 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_BYTES = 4 << 20
 
 
+#: Size of a broadcast's blocks. Each stage's code is one or more broadcasts, and the driver takes a block's buffer for
+#: each: of Spark's 4 MB, G1 counts every one as a humongous object, collects for it and lets the heap grow.
+BROADCAST_BLOCK = "256k"
+
+
 def bounded(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_BYTES from now on, unless the session's are smaller: rows may be long."""
+    """Arrow batches of at most BATCH_BYTES from now on, unless the session's are smaller: rows may be long. Small broadcast blocks, unless their size is set."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(re.sub(r"\D+$", "", spark.conf.get(key))) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+    spark.sparkContext._jsc.sc().conf().setIfMissing("spark.broadcast.blockSize", BROADCAST_BLOCK)
 
 
 def folder(spark: SparkSession) -> str:
@@ -35,27 +41,38 @@ def folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Runtime setting, read when a DataFrame is made: the end of its execution deletes its shuffles' files.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df once to the shared folder and reads it from there.
 
-    Where the cluster doesn't say otherwise, Spark deletes the copy when no DataFrame refers to it any more.
+    Its shuffles are deleted as soon as the copy is written. Where the cluster doesn't say
+    otherwise, Spark deletes the copy when no DataFrame refers to it any more.
     """
-    bounded(df.sparkSession)
-    folder(df.sparkSession)
-    conf = df.sparkSession.sparkContext._jsc.sc().conf()
+    spark = df.sparkSession
+    bounded(spark)
+    folder(spark)
+    conf = spark.sparkContext._jsc.sc().conf()
     conf.setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
-    out = df.checkpoint(eager=True)
-    _tidy(df.sparkSession)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        out = df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    _tidy(spark)
     return out
 
 
 #: Seconds between two calls for the driver's garbage, and when the last was.
-TIDY_SECONDS = 20
+TIDY_SECONDS = 10
 _tidied = [0.0]
 
 
 def _tidy(spark: SparkSession) -> None:
-    """Spark deletes shuffles and copies once the driver's collector has found them unused, which a heap with room may put off for long."""
+    """Spark deletes copies, and other shuffles than those of cut, once the driver's collector has found them unused, which a heap with room may put off for long."""
     if time.monotonic() - _tidied[0] > TIDY_SECONDS:
         gc.collect()
         spark.sparkContext._jvm.System.gc()

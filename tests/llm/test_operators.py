@@ -6,12 +6,13 @@ import random
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import _sample, _text, blocks, decontaminate, flac, language, licenses, media, packing, quality, queries, simhash, substring_dedup, toxicity, warc
+from tarn.llm import _sample, _store, _text, blocks, decontaminate, flac, language, licenses, media, packing, quality, queries, simhash, substring_dedup, toxicity, warc
 from tarn.llm._components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, d string, t long, n int, w string, row string, score double, fp long, k string, task int, `rank` int, starts string, component_id string"
@@ -794,3 +795,29 @@ def test_packing(request, table):
             at += length
         assert at <= 256
     assert len(sequences) <= 1.01 * -(-sum(r.length for r in rows) // 256)
+
+
+def test_cut_leaves_no_shuffle(spark):
+    """The shuffles of a copy go with its execution, not with the driver's garbage; the session's setting stays."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    local = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    before = spark.conf.get(key, None)
+
+    def held():
+        return {f.name for f in local.rglob("shuffle_*.data")}
+
+    old = held()
+    rows = spark.range(5000).repartition(7, "id").groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("t"))
+    got = _store.cut(rows)
+    for _ in range(50):
+        if held() <= old:
+            break
+        time.sleep(0.1)
+    assert held() <= old and spark.conf.get(key, None) == before
+    assert got.count() == rows.count() == 100 and got.agg(F.sum("t")).first()[0] == sum(range(5000))
+
+
+def test_broadcast_blocks_are_small(spark):
+    _store.bounded(spark)
+    seen = spark.sparkContext._jsc.sc().conf().getSizeAsKb("spark.broadcast.blockSize")
+    assert seen < 512  # half of G1's smallest region, from where an object is humongous
